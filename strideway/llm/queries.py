@@ -4,19 +4,31 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strideway.llm import bpe
+from strideway.llm import bpe, langid
 from strideway.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 
 
+def held_out():
+    """Whether a document is kept from learning; a null doc_id is neither learned from nor held out."""
+    return langid.bucket_of(F.col("doc_id")) % 3 == 1
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.filter(~held_out()))
+    return langid.predict(docs, model).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", "accepted")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = bpe.encode(table(spark, sf_dir, "documents"), RANKS, PATTERN)
     return bpe.digests(bpe.decode(tokens, RANKS, PATTERN))
 
 
-QUERIES = {f.__name__: f for f in (op6_byte_bpe,)}
+QUERIES = {f.__name__: f for f in (op3_language_id, op6_byte_bpe)}
 
 ORACLES: dict[str, str] = {}
