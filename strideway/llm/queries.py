@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideway.llm import bpe, langid
+from strideway.llm import bpe, langid, simhash
 from strideway.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -29,6 +29,11 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(tokens, RANKS, PATTERN))
 
 
-QUERIES = {f.__name__: f for f in (op3_language_id, op6_byte_bpe)}
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.near_groups(table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+QUERIES = {f.__name__: f for f in (op3_language_id, op6_byte_bpe, op8_simhash)}
 
 ORACLES: dict[str, str] = {}
