@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideway.llm import bpe, langid, simhash
+from strideway.llm import bpe, langid, lsm, simhash
 from strideway.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -24,6 +24,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = lsm.exact_groups(table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", F.col("keep").alias("keep_id"), F.col("n").alias("group_size"), "kept", F.col("sha256").alias("text_sha256"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = bpe.encode(table(spark, sf_dir, "documents"), RANKS, PATTERN)
     return bpe.digests(bpe.decode(tokens, RANKS, PATTERN))
@@ -34,6 +39,17 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-QUERIES = {f.__name__: f for f in (op3_language_id, op6_byte_bpe, op8_simhash)}
-
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op3_language_id, op4_exact_dedup, op6_byte_bpe, op8_simhash)}
+
+ORACLES: dict[str, str] = {
+    "op4_exact_dedup": r"""
+        WITH t AS (
+            SELECT doc_id, coalesce(text, '') AS original, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents
+        ), g AS (
+            SELECT doc_id, norm, count(*) OVER (PARTITION BY norm) AS group_size,
+                   first_value(doc_id) OVER (PARTITION BY norm ORDER BY length(original) DESC, doc_id) AS keep_id
+            FROM t
+        )
+        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM g
+    """,
+}
