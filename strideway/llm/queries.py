@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideway.llm import bpe, langid, lsm, simhash
+from strideway.llm import bpe, langid, lsm, mixing, simhash
 from strideway.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -34,12 +34,16 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(tokens, RANKS, PATTERN))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-QUERIES = {f.__name__: f for f in (op3_language_id, op4_exact_dedup, op6_byte_bpe, op8_simhash)}
+QUERIES = {f.__name__: f for f in (op3_language_id, op4_exact_dedup, op6_byte_bpe, op7_mixing, op8_simhash)}
 
 ORACLES: dict[str, str] = {
     "op4_exact_dedup": r"""
@@ -52,4 +56,47 @@ ORACLES: dict[str, str] = {
         )
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM g
     """,
+    "op7_mixing": r"""
+        WITH d AS (
+            SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5('7:' || coalesce(doc_id::VARCHAR, '')) AS ord FROM documents
+        ), n AS (SELECT greatest(1, ceil(count(*) / 50000.0))::BIGINT AS n FROM d
+        ), e AS (SELECT d.*, ('0x' || substr(ord, 1, 8))::BIGINT % n.n AS shard FROM d, n
+        ), sh AS (SELECT source, shard, sum(size)::BIGINT AS shard_size FROM e GROUP BY ALL
+        ), s0 AS (
+            SELECT source, sum(shard_size)::BIGINT AS source_size, row_number() OVER (ORDER BY source IS NULL, source COLLATE "C") AS rank FROM sh GROUP BY source
+        ), s1 AS (SELECT *, (rank - 1) % 3 + 1 AS w, 3 * source_size AS cap, source_size * (6 // ((rank - 1) % 3 + 1)) AS fill FROM s0
+        ), s2 AS (
+            SELECT *, sum(source_size) OVER () AS all_words,
+                   sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0) AS left_words, sum(w) OVER () - coalesce(sum(w) OVER b, 0) AS left_w
+            FROM s1 WINDOW b AS (ORDER BY fill, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+        ), s3 AS (SELECT *, cap * left_w < w * left_words AS isfull FROM s2
+        ), s4 AS (
+            SELECT *, all_words - sum(CASE WHEN isfull THEN cap ELSE 0 END) OVER () AS rest, sum(CASE WHEN isfull THEN 0 ELSE w END) OVER () AS rest_w FROM s3
+        ), s5 AS (
+            SELECT *, CASE WHEN isfull THEN cap::DOUBLE ELSE coalesce((w * rest)::DOUBLE / nullif(rest_w, 0)::DOUBLE, 0) END AS target FROM s4
+        ), s6 AS (
+            SELECT *, greatest(1, least(4096, floor(coalesce(min(CASE WHEN target > 0 THEN target END) OVER (), 0) / 100)))::BIGINT AS block FROM s5
+        ), s7 AS (SELECT *, floor(all_words / block + 0.5)::BIGINT AS blocks FROM s6
+        ), q1 AS (
+            SELECT rank, blocks, unnest(range(0, (target / block)::BIGINT + 60)) AS k, target FROM s7 WHERE target > 0
+        ), q2 AS (SELECT rank, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, rank, k) AS place, blocks FROM q1
+        ), q3 AS (SELECT rank, count(*) AS seats FROM q2 WHERE place <= blocks GROUP BY rank
+        ), s8 AS (SELECT s7.*, coalesce(seats, 0) AS seats FROM s7 LEFT JOIN q3 USING (rank)
+        ), h1 AS (
+            SELECT sh.source, shard, shard_size, source_size, target, block, seats FROM sh JOIN s8 ON sh.source IS NOT DISTINCT FROM s8.source
+        ), r1 AS (
+            SELECT source, shard, seats, shard_size, unnest(range(0, (seats * shard_size / source_size)::BIGINT + 60)) AS k FROM h1 WHERE shard_size > 0
+        ), r2 AS (
+            SELECT source, shard, seats, row_number() OVER (PARTITION BY source ORDER BY shard_size::DOUBLE / (2 * k + 1) DESC, shard, k) AS place FROM r1
+        ), r3 AS (SELECT source, shard, count(*) AS shard_seats FROM r2 WHERE place <= seats GROUP BY ALL
+        ), h2 AS (
+            SELECT h1.*, least(coalesce(shard_seats, 0) * block, 3 * shard_size)::BIGINT AS quota
+            FROM h1 LEFT JOIN r3 ON h1.source IS NOT DISTINCT FROM r3.source AND h1.shard = r3.shard
+        ), o AS (
+            SELECT e.*, h2.source_size, h2.target, h2.shard_size, h2.quota, coalesce(h2.quota // nullif(h2.shard_size, 0), 0) AS whole,
+                   coalesce(sum(size) OVER (PARTITION BY e.source, e.shard ORDER BY ord, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
+            FROM e JOIN h2 ON e.source IS NOT DISTINCT FROM h2.source AND e.shard = h2.shard
+        )
+        SELECT doc_id, source, size, source_size, target, (whole * size + least(size, greatest(0, quota - whole * shard_size - ahead)))::BIGINT AS taken FROM o
+    """,
 }
