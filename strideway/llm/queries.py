@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideway.llm import bpe, langid, lsm, mixing, simhash
+from strideway.llm import bpe, langid, lsm, mixing, simhash, urlfilter
 from strideway.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -43,7 +43,14 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-QUERIES = {f.__name__: f for f in (op3_language_id, op4_exact_dedup, op6_byte_bpe, op7_mixing, op8_simhash)}
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+QUERIES = {f.__name__: f for f in (op3_language_id, op4_exact_dedup, op6_byte_bpe, op7_mixing, op8_simhash, op10_url_filter)}
 
 ORACLES: dict[str, str] = {
     "op4_exact_dedup": r"""
@@ -99,4 +106,72 @@ ORACLES: dict[str, str] = {
         )
         SELECT doc_id, source, size, source_size, target, (whole * size + least(size, greatest(0, quota - whole * shard_size - ahead)))::BIGINT AS taken FROM o
     """,
+    "op10_url_filter": r"""
+        WITH r AS (
+            SELECT page_id, contains(coalesce(url, ''), '://') AS ok, substr(url, strpos(url, '://') + 3) AS rest FROM pages
+        ), p AS (
+            SELECT page_id, CASE WHEN ok THEN translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+                   CASE WHEN ok THEN regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path
+            FROM r
+        ), rules(rule, given, rhost, rpath) AS (
+            VALUES ('com/', 'allow', 'com', '/'), ('example.com/en/', 'block', 'example.com', '/en/'), ('www.example.com/en/', 'allow', 'www.example.com', '/en/'),
+                   ('net/es/', 'block', 'net', '/es/'), ('net/fr/', 'block', 'net', '/fr/')
+        ), w AS (
+            SELECT p.*, (SELECT arg_max(rule, len(rule)) FROM rules WHERE (p.host = rhost OR ends_with(p.host, '.' || rhost)) AND starts_with(p.path, rpath)) AS rule FROM p
+        ), x AS (
+            SELECT w.*, given, list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: regexp_replace(s, '^([0-9]+(\.[A-Za-z0-9]+)?|[0-9A-Fa-f]{8,})$', '*')) AS all_parts
+            FROM w LEFT JOIN rules USING (rule)
+        ), y AS (SELECT *, CASE WHEN len(all_parts) > 4 THEN list_concat(all_parts[1:4], ['**']) ELSE all_parts END AS parts FROM x
+        ), t0 AS (
+            SELECT host, parts, count(*) AS n, count(*) FILTER (given = 'allow') AS allow, count(given) AS labelled, '' AS node, '' AS parent FROM y GROUP BY host, parts
+        LEVELS), leaves AS (SELECT host, parent, node, sum(allow)::DOUBLE AS a, sum(labelled)::DOUBLE AS m FROM t5 GROUP BY ALL
+        ), pools AS (SELECT *, (sum(a) OVER q + 2.0) / (sum(m) OVER q + 4.0) AS rate FROM leaves WINDOW q AS (PARTITION BY host, parent)
+        ), branched AS (
+            SELECT *, CASE WHEN m > 0 AND abs(a - m * rate) > 1.96::DOUBLE * sqrt(m * rate * (1 - rate)) THEN node ELSE '~' END AS branch FROM pools
+        ), s AS (
+            SELECT *, sum(a) OVER (PARTITION BY host, parent, branch) AS ba, sum(m) OVER (PARTITION BY host, parent, branch) AS bm,
+                   sum(a) OVER (PARTITION BY host) AS ha, sum(m) OVER (PARTITION BY host) AS hm
+            FROM branched
+        ), u AS (
+            SELECT host, parent, node, (ba + 4.0::DOUBLE * ((ha + 4.0::DOUBLE * 0.5::DOUBLE) / (hm + 4.0::DOUBLE))) / (bm + 4.0::DOUBLE) AS purity FROM s
+        ), z AS (SELECT t5.host, parts, node, purity FROM t5 JOIN u USING (host, parent, node)
+        )
+        SELECT page_id, y.host, path, rule, coalesce(given, CASE WHEN purity < 0.5 THEN 'block' ELSE 'allow' END) AS verdict, node AS template
+        FROM y JOIN z ON y.host = z.host AND y.parts = z.parts
+    """.replace("LEVELS", """), k1 AS (SELECT host, node, parts[1] AS part, sum(n) AS n FROM t0 WHERE len(parts) >= 1 GROUP BY ALL
+        ), v1 AS (SELECT host, node FROM k1 GROUP BY ALL HAVING count(*) > 8 AND sum(n) < 4 * count(*)
+        ), t1 AS (
+            SELECT t0.* EXCLUDE (node, parent),
+                   CASE WHEN len(parts) >= 1 THEN t0.node ELSE parent END AS parent,
+                   CASE WHEN len(parts) >= 1 THEN t0.node || '/' || CASE WHEN v1.host IS NULL THEN parts[1] ELSE '*' END ELSE t0.node END AS node
+            FROM t0 LEFT JOIN v1 ON t0.host = v1.host AND t0.node = v1.node
+        ), k2 AS (SELECT host, node, parts[2] AS part, sum(n) AS n FROM t1 WHERE len(parts) >= 2 GROUP BY ALL
+        ), v2 AS (SELECT host, node FROM k2 GROUP BY ALL HAVING count(*) > 8 AND sum(n) < 4 * count(*)
+        ), t2 AS (
+            SELECT t1.* EXCLUDE (node, parent),
+                   CASE WHEN len(parts) >= 2 THEN t1.node ELSE parent END AS parent,
+                   CASE WHEN len(parts) >= 2 THEN t1.node || '/' || CASE WHEN v2.host IS NULL THEN parts[2] ELSE '*' END ELSE t1.node END AS node
+            FROM t1 LEFT JOIN v2 ON t1.host = v2.host AND t1.node = v2.node
+        ), k3 AS (SELECT host, node, parts[3] AS part, sum(n) AS n FROM t2 WHERE len(parts) >= 3 GROUP BY ALL
+        ), v3 AS (SELECT host, node FROM k3 GROUP BY ALL HAVING count(*) > 8 AND sum(n) < 4 * count(*)
+        ), t3 AS (
+            SELECT t2.* EXCLUDE (node, parent),
+                   CASE WHEN len(parts) >= 3 THEN t2.node ELSE parent END AS parent,
+                   CASE WHEN len(parts) >= 3 THEN t2.node || '/' || CASE WHEN v3.host IS NULL THEN parts[3] ELSE '*' END ELSE t2.node END AS node
+            FROM t2 LEFT JOIN v3 ON t2.host = v3.host AND t2.node = v3.node
+        ), k4 AS (SELECT host, node, parts[4] AS part, sum(n) AS n FROM t3 WHERE len(parts) >= 4 GROUP BY ALL
+        ), v4 AS (SELECT host, node FROM k4 GROUP BY ALL HAVING count(*) > 8 AND sum(n) < 4 * count(*)
+        ), t4 AS (
+            SELECT t3.* EXCLUDE (node, parent),
+                   CASE WHEN len(parts) >= 4 THEN t3.node ELSE parent END AS parent,
+                   CASE WHEN len(parts) >= 4 THEN t3.node || '/' || CASE WHEN v4.host IS NULL THEN parts[4] ELSE '*' END ELSE t3.node END AS node
+            FROM t3 LEFT JOIN v4 ON t3.host = v4.host AND t3.node = v4.node
+        ), k5 AS (SELECT host, node, parts[5] AS part, sum(n) AS n FROM t4 WHERE len(parts) >= 5 GROUP BY ALL
+        ), v5 AS (SELECT host, node FROM k5 GROUP BY ALL HAVING count(*) > 8 AND sum(n) < 4 * count(*)
+        ), t5 AS (
+            SELECT t4.* EXCLUDE (node, parent),
+                   CASE WHEN len(parts) >= 5 THEN t4.node ELSE parent END AS parent,
+                   CASE WHEN len(parts) >= 5 THEN t4.node || '/' || CASE WHEN v5.host IS NULL THEN parts[5] ELSE '*' END ELSE t4.node END AS node
+            FROM t4 LEFT JOIN v5 ON t4.host = v5.host AND t4.node = v5.node
+        """),
 }
