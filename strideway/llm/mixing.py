@@ -25,7 +25,7 @@ from strideway.llm.common import WORD, materialise
 REPEATS = 3
 SEED = 7
 #: Documents of a shard, about; and the largest block in words.
-SHARD_ROWS, LARGEST_BLOCK = 50_000, 4096
+SHARD_ROWS, LARGEST_BLOCK = 4_000, 4096
 P = "__mix_"
 
 

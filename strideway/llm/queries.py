@@ -80,7 +80,7 @@ ORACLES: dict[str, str] = {
     "op7_mixing": r"""
         WITH d AS (
             SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5('7:' || coalesce(doc_id::VARCHAR, '')) AS ord FROM documents
-        ), n AS (SELECT greatest(1, ceil(count(*) / 50000.0))::BIGINT AS n FROM d
+        ), n AS (SELECT greatest(1, ceil(count(*) / 4000.0))::BIGINT AS n FROM d
         ), e AS (SELECT d.*, ('0x' || substr(ord, 1, 8))::BIGINT % n.n AS shard FROM d, n
         ), sh AS (SELECT source, shard, sum(size)::BIGINT AS shard_size FROM e GROUP BY ALL
         ), s0 AS (
