@@ -50,6 +50,7 @@ class Task:
     least: int  # no score is lower
     low: np.ndarray  # of each query, the range's lowest score
     width: np.ndarray  # scores in a bin
+    span: np.ndarray  # scores in the range
     k: int
 
 
@@ -75,9 +76,10 @@ def counted(task: Task, batches):
     counts = np.zeros((len(task.keys), BINS), np.int64)
     for b in batches:
         for _, s in scored(task, b):
-            bins = (s - task.low[:, None]) // task.width[:, None]
-            q, j = np.nonzero((bins >= 0) & (bins < BINS))
-            counts += np.bincount(q * BINS + bins[q, j].astype(np.int64), minlength=counts.size).reshape(counts.shape)
+            past = s - task.low[:, None]
+            q, j = np.nonzero((past >= 0) & (past < task.span[:, None]))
+            bins = (past[q, j] // task.width[q]).astype(np.int64)
+            counts += np.bincount(q * BINS + bins, minlength=counts.size).reshape(counts.shape)
     better = counts[:, ::-1].cumsum(1)[:, ::-1] - counts
     q, j = np.nonzero((counts > 0) & (better < task.k))
     yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(counts[q, j])], ["q", "bin", "n"])
@@ -111,8 +113,9 @@ def _block(candidates: DataFrame, keys: list[int], vectors: list[list[int]], k:
     whole = object if kind is object else np.int64
     n = len(keys)
     low, width = np.full(n, -bound, whole), np.full(n, -(-(2 * bound + 1) // BINS), whole)
+    span = width * BINS
     above, open_ = np.zeros(n, np.int64), np.ones(n, bool)
-    task = Task(np.asarray(keys, np.int64), np.asarray(vectors, whole).reshape(n, -1), kind, -bound, low, width, k)
+    task = Task(np.asarray(keys, np.int64), np.asarray(vectors, whole).reshape(n, -1), kind, -bound, low, width, span, k)
     while open_.any():
         sent = sc.broadcast(task)
         hist = arrow_map(candidates, lambda b, sent=sent: counted(sent.value, b), "q int, bin int, n long").groupBy("q", "bin").agg(F.sum("n").alias("n"))
@@ -131,10 +134,11 @@ def _block(candidates: DataFrame, keys: list[int], vectors: list[list[int]], k:
         low[open_ & ~seen] = -bound - 1
         done = open_ & seen & (width == 1)
         open_ = open_ & seen & ~done
+        # The range is the bin just found; queries that are done look at nothing.
+        span = np.where(open_, width, 0).astype(whole)
         width = np.where(open_, -(-width // BINS), width).astype(whole)
-        # Queries that are done look at one bin below all scores.
-        task = Task(task.keys, task.vectors, kind, -bound, np.where(open_, low, -bound - 1 - BINS).astype(whole), np.where(open_, width, 1).astype(whole), k)
-    sent_last = sc.broadcast(Task(task.keys, task.vectors, kind, -bound - 1, low, width, k))
+        task = Task(task.keys, task.vectors, kind, -bound, low, width, span, k)
+    sent_last = sc.broadcast(Task(task.keys, task.vectors, kind, -bound - 1, low, width, span, k))
     hits = arrow_map(candidates, lambda b: chosen(sent_last.value, b), "query_id long, key long, score long")
     first = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "key")
     return hits.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= k).select("query_id", "rank", "key", "score")
