@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideway.llm import bpe, langid, lsm, mixing, simhash, topk, urlfilter
+from strideway.llm import bpe, langid, lsm, mixing, simhash, topk, urlfilter, warc
 from strideway.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -33,6 +33,14 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.col("keep").alias("keep_id"), F.col("n").alias("group_size"), "kept", F.col("sha256").alias("text_sha256"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    # The table has no capture times: pages were captured a second apart.
+    time = F.timestamp_seconds(F.lit(1704067200) + F.coalesce("page_id", F.lit(0)))
+    records = warc.read(warc.history(warc.write(pages, time)))
+    return records.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = bpe.encode(table(spark, sf_dir, "documents"), RANKS, PATTERN)
     return bpe.digests(bpe.decode(tokens, RANKS, PATTERN))
@@ -54,7 +62,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES = {f.__name__: f for f in (op1_top_k, op3_language_id, op4_exact_dedup, op6_byte_bpe, op7_mixing, op8_simhash, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_top_k, op3_language_id, op4_exact_dedup, op5_warc, op6_byte_bpe, op7_mixing, op8_simhash, op10_url_filter)}
 
 ORACLES: dict[str, str] = {
     "op1_top_k": """
