@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideway.llm import bpe, langid, lsm, mixing, simhash, topk, urlfilter, warc
+from strideway.llm import automaton, bpe, langid, lsm, mixing, simhash, suffixes, topk, urlfilter, warc
 from strideway.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -17,6 +17,11 @@ def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = automaton.remove_repeated(table(spark, sf_dir, "documents"), 20)
+    return out.select(F.col("doc").alias("doc_id"), F.col("n_units").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def held_out():
     """Whether a document is kept from learning; a null doc_id is neither learned from nor held out."""
     return langid.bucket_of(F.col("doc_id")) % 3 == 1
@@ -55,6 +60,11 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixes.remove_repeated(table(spark, sf_dir, "documents"), 200)
+    return out.select(F.col("doc").alias("doc_id"), F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
 
@@ -62,7 +72,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES = {f.__name__: f for f in (op1_top_k, op3_language_id, op4_exact_dedup, op5_warc, op6_byte_bpe, op7_mixing, op8_simhash, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_top_k, op2_substring_dedup, op3_language_id, op4_exact_dedup, op5_warc, op6_byte_bpe, op7_mixing, op8_simhash, op9_suffix_array, op10_url_filter)}
 
 ORACLES: dict[str, str] = {
     "op1_top_k": """
