@@ -10,7 +10,7 @@ As softmax is linear in the embedding, prediction keeps embedding x weights: one
 scores for each bucket, of fixed size.
 
 Cases: a null text or one without a letter is `und` with score 0 and rejected; with no labelled
-row at all every text is `und`; rows are judged one by one, so repeated rows, repeated or null
+row at all every text is `und`, and one with a letter is accepted, as nothing speaks against it; rows are judged one by one, so repeated rows, repeated or null
 keys keep their own; an empty table gives none; other columns are ignored, whatever their names.
 """
 
@@ -163,7 +163,7 @@ def judge(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray,
     """(label, calibrated probability, accepted) of each text."""
     known = np.asarray([t is not None and LETTER.search(t) is not None for t in texts], bool)
     if not model.labels:
-        return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
+        return [UNKNOWN] * len(texts), np.zeros(len(texts)), known
     p = softmax(logits(model, texts) / model.temperature)
     best = p.argmax(1)
     score = np.where(known, p[np.arange(len(texts)), best], 0.0)
