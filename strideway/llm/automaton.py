@@ -111,7 +111,7 @@ def _compare(window: int):
         shard, auto = None, Automaton()
         for b in batches:
             docs, tags, spans = [], [], []
-            for s, doc, tag, start, body in zip(*(b.column(i).to_pylist() for i in (0, 1, 2, 3, 5)), strict=True):
+            for s, doc, tag, start, body in zip(*(b.column(i).to_pylist() for i in (0, 1, 2, 3, 6)), strict=True):
                 if s != shard:
                     shard, auto = s, Automaton()
                 words = body.split()

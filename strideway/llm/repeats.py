@@ -7,8 +7,11 @@ Shared by the removal of repeated word passages (suffix automata) and of repeate
    key does. Keys that occur once, and not twice inside their segment, end here.
 2. A key's shard is the block of the first document that has it, so neighbouring segments of a copy stay
    together: they travel as one passage, once, to the shard they share, and are compared there.
-   A key that occurs more than HOT times would make its shard large: its segments are grouped by
-   their text (summed before they are dealt out), and the windows of distinct texts by their digest.
+   A key that occurs more than HOT times would make its shard large. Its segments are grouped by
+   their text, so that copies meet as counts; of each text only the first occurrence goes on. Keys with few
+   texts left are compared like any shard; the others' texts are cut anew by another order of hashes,
+   again and again. Each cut sets apart more of what texts share from what is their own. Windows of
+   what is left after LEVELS cuts are grouped by digest.
 3. What is to go returns to its document as ranges of window starts.
 
 Texts are dealt out by document twice, compressed.
@@ -19,6 +22,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +35,7 @@ from strideway.llm.common import arrow_map, materialise, raw_bytes, slices, text
 
 #: Occurrences of a key above which it has no shard; units of a block of the first document.
 HOT = 256
+LEVELS = 6
 LAST = 2**63 - 1
 
 
@@ -167,10 +172,12 @@ def _passages(u: Units):
                 while at < len(found):
                     s = found[at]
                     start, end, at = s["start"], s["start"] + s["n"], at + 1
+                    cuts = [0]
                     while not s["hot"] and at < len(found) and found[at]["start"] == end and found[at]["shard"] == s["shard"] and not found[at]["hot"]:
+                        cuts.append(end - start)
                         end, at = end + found[at]["n"], at + 1
                     body = u.whole(units[start : end + u.window - 1])
-                    out.append((s["hot"], s["shard"], doc, tag, start, end - start, body))
+                    out.append((s["hot"], s["shard"], doc, tag, start, end - start, cuts, body))
                     size += len(body)
                     if size > 4 << 20:
                         yield rows(out)
@@ -178,8 +185,8 @@ def _passages(u: Units):
             if out:
                 yield rows(out)
 
-    kinds = [pa.bool_(), *[pa.int64()] * 5, pa.binary()]
-    names = ["hot", "shard", "doc", "tag", "start", "n", "body"]
+    kinds = [pa.bool_(), *[pa.int64()] * 5, pa.list_(pa.int64()), pa.binary()]
+    names = ["hot", "shard", "doc", "tag", "start", "n", "cuts", "body"]
 
     def rows(out):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
@@ -187,7 +194,9 @@ def _passages(u: Units):
     return run
 
 
-PASSAGES = "hot boolean, shard long, doc long, tag long, start long, n long, body binary"
+PASSAGES = "hot boolean, shard long, doc long, tag long, start long, n long, cuts array<long>, body binary"
+#: What a comparison gets, dealt out by shard and in order within it: cuts are the starts of a passage's segments.
+SHARDED = ["shard", "doc", "tag", "start", "n", "cuts", "body"]
 
 
 def ranges_of(flags: np.ndarray, start: int = 0) -> bytes:
@@ -195,69 +204,116 @@ def ranges_of(flags: np.ndarray, start: int = 0) -> bytes:
     return (np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))) + start).astype("<i8").tobytes()
 
 
+def _recut(u: Units, level: int):
+    """Segments (shard, doc, tag, start, n, body, multi) of passages by another order of hashes; a new shard holds what an old one and a key have in common."""
+    salt = M.mixed(np.asarray([level], np.uint64))[0]
+
+    def run(batches):
+        for b in slices(batches, "body", 1 << 19):
+            data, off = raw_bytes(b.column(5))
+            if u.words:
+                h, starts = word_hashes(np.insert(data, off[1:], 32))
+                bounds, grams = starts.searchsorted(off + np.arange(len(off))), M.doubled(h, u.gram)
+            else:
+                bounds, grams = off, M.byte_hashes(data, u.gram)
+            s = M.segments(M.mixed(grams ^ salt), bounds, u.window, u.gram)
+            row = bounds.searchsorted(s.start, "right") - 1
+            at = s.start - bounds[row]
+            old = b.column(0).to_numpy()[row]
+            shard = M.mixed(old.view(np.uint64) * M.C + s.key.view(np.uint64)).view(np.int64)
+            bodies = [u.cut(x) for x in b.column(5).to_pylist()]
+            pieces = [u.whole(bodies[r][i : i + n + u.window - 1]) for r, i, n in zip(row.tolist(), at.tolist(), s.n.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(shard), b.column(1).take(pa.array(row)), b.column(2).take(pa.array(row)), pa.array(b.column(3).to_numpy()[row] + at), pa.array(s.n), pa.array(pieces, pa.binary()), pa.array(s.multi)],
+                ["shard", "doc", "tag", "start", "n", "body", "multi"],
+            )
+
+    return run
+
+
 def _windows(u: Units):
-    """(body, n) -> a digest of each of its windows."""
+    """A digest of each window of passages."""
 
     def run(batches):
         for b in slices(batches, "body", 1 << 16):
             row, off, digest = [], [], []
-            for i, (body, n) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
+            for i, (n, body) in enumerate(zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)):
                 units = u.cut(body)
                 row += [i] * n
                 off += range(n)
                 digest += [hashlib.blake2b(u.whole(units[k : k + u.window]), digest_size=16).digest() for k in range(n)]
             take = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), pa.array(off, pa.int64()), pa.array(digest, pa.binary()), b.column(3).take(take), *(b.column(i).take(take) for i in (4, 5, 6))], ["text_id", "off", "digest", "copies", "doc", "tag", "start"])
+            at = b.column(2).to_numpy()[np.asarray(row, np.int64)] + np.asarray(off, np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(at), pa.array(digest, pa.binary())], ["doc", "tag", "start", "digest"])
 
     return run
 
 
-def _hot(hot: DataFrame, u: Units, keep_first: bool) -> DataFrame:
-    """(doc, tag, spans) of hot segments."""
-    known = hot.withColumn("text_id", F.sha2("body", 256))
-    distinct = known.groupBy("text_id", "body", "n").agg(F.count("*").alias("copies"), F.min(F.struct("doc", "tag", "start")).alias("first"))
-    rows = distinct.select("text_id", "body", "n", "copies", "first.*")
-    windows = materialise(arrow_map(rows, _windows(u), "text_id string, off long, digest binary, copies long, doc long, tag long, start long"), "hot-windows")
-    own = F.struct("doc", "tag", (F.col("start") + F.col("off")).alias("at"))
-    every = windows.groupBy("digest").agg(F.sum("copies").alias("all"), F.min(own).alias("low")).filter("`all` > 1")
-    met = windows.join(every, "digest")
-    gone = met.filter(own != F.col("low")) if keep_first else met
-    marked = gone.groupBy("text_id").agg(F.collect_list("off").alias("offs"))
-    # With keep_first, copies of a text other than the first one go as a whole.
-    firsts = rows.select("text_id", F.struct("doc", "tag", "start").alias("own"))
-    told = materialise(firsts.join(marked, "text_id", "left"), "hot-told")
-    back = known.select("text_id", "doc", "tag", "start", "n").join(told, "text_id")
-    is_first = F.struct("doc", "tag", "start") == F.col("own")
-    offs = F.when(~is_first, F.expr("sequence(0L, n - 1)")).otherwise(F.col("offs")) if keep_first else F.col("offs")
-    return back.withColumn("offs", offs).filter("offs is not null").select("doc", "tag", "start", "offs")
+def _full(rows: DataFrame) -> DataFrame:
+    """All windows of rows (doc, tag, start, n) are to go."""
+
+    def run(batches):
+        for b in batches:
+            pairs = np.stack([b.column(2).to_numpy(), b.column(2).to_numpy() + b.column(3).to_numpy()], 1).astype("<i8")
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([p.tobytes() for p in pairs], pa.binary())], ["doc", "tag", "spans"])
+
+    return arrow_map(rows.select("doc", "tag", "start", "n"), run, SPANS)
+
+
+SPANS = "doc long, tag long, spans binary"
+
+
+def _matched(rows: DataFrame, compare: Callable) -> DataFrame:
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 2
+    return arrow_map(rows.select(*SHARDED).repartition(n, "shard").sortWithinPartitions("shard", "doc", "tag", "start"), compare, SPANS)
+
+
+def _hot(rows: DataFrame, u: Units, keep_first: bool) -> tuple[list[DataFrame], list[DataFrame]]:
+    """What becomes of segments whose keys are too common for a shard: passages to compare, and ranges (doc, tag, start, n) that go. rows: (shard, doc, tag, start, n, body, multi)."""
+    shards: list[DataFrame] = []
+    ranges: list[DataFrame] = []
+    pos = F.struct("doc", "tag", "start")
+    for level in range(1, LEVELS + 1):
+        rows = rows.withColumn("text_id", F.sha2("body", 256))
+        known = materialise(rows.groupBy("shard", "text_id").agg(F.count("*").alias("copies"), F.min(pos).alias("first"), F.max("multi").alias("m")), "hot-texts")
+        keys = known.groupBy("shard").agg(F.count("*").alias("d"), F.sum("copies").alias("c"), F.max("m").alias("km")).filter("c > 1 or km")
+        told = materialise(known.join(keys, "shard").select(F.col("text_id").alias("id"), F.col("shard").alias("s"), "copies", "first", "d"), "hot-known")
+        met = rows.join(told, (F.col("text_id") == F.col("id")) & (F.col("shard") == F.col("s")))
+        met = materialise(met.select("shard", "doc", "tag", "start", "n", "body", "copies", "d", (pos == F.col("first")).alias("own")), "hot-met")
+        gone = met.filter("copies > 1 and not own") if keep_first else met.filter("copies > 1")
+        ranges.append(gone.select("doc", "tag", "start", "n"))
+        own = met.filter("own")
+        shards.append(own.filter(F.col("d") <= HOT).withColumn("cuts", F.array(F.lit(0).cast("long"))).select(*SHARDED))
+        left = own.filter(F.col("d") > HOT).select("shard", "doc", "tag", "start", "n", "body")
+        if left.isEmpty():
+            return shards, ranges
+        if level < LEVELS:
+            rows = materialise(arrow_map(left, _recut(u, level), "shard long, doc long, tag long, start long, n long, body binary, multi boolean"), "hot-recut")
+    windows = materialise(arrow_map(left.select("doc", "tag", "start", "n", "body"), _windows(u), "doc long, tag long, start long, digest binary"), "hot-windows")
+    every = materialise(windows.groupBy("digest").agg(F.count("*").alias("all"), F.min(pos).alias("low")).filter("`all` > 1"), "hot-repeated")
+    again = windows.join(every, "digest")
+    again = again.filter(pos != F.col("low")) if keep_first else again
+    ranges.append(again.select("doc", "tag", "start", F.lit(1).cast("long").alias("n")))
+    return shards, ranges
 
 
 def repeated(rows: DataFrame, u: Units, compare: Callable, keep_first: bool) -> DataFrame:
     """(doc, tag, spans): ranges of the starts of windows that are to go. rows: numbered(). compare: from an iterator of a shard's passages in order, rows of (doc, tag, spans); keep_first: whether the first of equal windows stays."""
-    spark = rows.sparkSession
     segs = materialise(arrow_map(rows, _segments(u), CUT), "segments")
     keys = segs.groupBy("key").agg(F.count("*").alias("c"), F.max("multi").alias("m"), F.min("doc").alias("d0"), F.min("start").alias("s0")).filter("c > 1 or m")
     shard = F.xxhash64("d0", F.floor(F.col("s0") / u.block))
-    found = segs.join(keys, "key").select("doc", "tag", F.struct("start", "n", (F.col("c") > HOT).alias("hot"), F.when(F.col("c") > HOT, F.col("key")).otherwise(shard).alias("shard")).alias("s"))
+    # Written down, so that the join has an exchange on both sides and a common key's part can be split.
+    known = materialise(keys.select("key", (F.col("c") > HOT).alias("hot"), F.when(F.col("c") > HOT, F.col("key")).otherwise(shard).alias("shard")), "keys")
+    found = segs.join(known, "key").select("doc", "tag", F.struct("start", "n", "hot", "shard").alias("s"))
     by_doc = found.groupBy("doc", "tag").agg(F.collect_list("s").alias("segs"))  # no more than a document's own
     with_text = packed(rows).join(by_doc, ["doc", "tag"]).select("doc", "tag", "z", "segs")
     passages = materialise(arrow_map(with_text, _passages(u), PASSAGES), "passages")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions")) * 2
-    cold = passages.filter("not hot").select("shard", "doc", "tag", "start", "n", "body")
-    dealt = cold.repartition(n, "shard").sortWithinPartitions("shard", "doc", "tag", "start")
-    matched = arrow_map(dealt, compare, "doc long, tag long, spans binary")
-    hot = _hot(passages.filter("hot"), u, keep_first)
-
-    def spans(batches):
-        for b in batches:
-            out = []
-            for start, offs in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                flags = np.zeros(max(offs, default=-1) + 1, bool)
-                flags[offs] = True
-                out.append(ranges_of(flags, start))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["doc", "tag", "spans"])
-
-    both = matched.unionByName(arrow_map(hot, spans, "doc long, tag long, spans binary"))
+    # A hot key's segments are compared whatever their number inside, so multi is as good as set.
+    hot = passages.filter("hot").select("shard", "doc", "tag", "start", "n", "body", F.lit(True).alias("multi"))
+    shards, ranges = _hot(hot, u, keep_first)
+    # One exchange and one pass for all that is compared.
+    matched = _matched(reduce(DataFrame.unionByName, shards, passages.filter("not hot").select(*SHARDED)), compare)
+    both = matched.unionByName(_full(reduce(DataFrame.unionByName, ranges)))
     return materialise(both.groupBy("doc", "tag").agg(F.collect_list("spans").alias("spans")), "spans")
 
 

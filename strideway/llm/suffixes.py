@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 
 from strideway.llm.repeats import Units, numbered, ranges_of, removed, repeated
 
-#: Windows of the passages that are sorted together, about; shards are never split.
-TOGETHER = 1 << 20
+#: Different windows that are sorted together, about; shards are never split.
+TOGETHER = 1 << 18
 
 
 def _words_at(t: np.ndarray) -> np.ndarray:
@@ -165,26 +165,48 @@ def repeated_windows(passages: list[bytes], counts: list[int], window: int) -> l
 
 
 def _compare(window: int):
+    """Shards of passages -> which of their windows occur more than once. Segments with the same bytes, as copies have them, are sorted once; they repeat as a whole."""
+
     def run(batches):
-        held: list[tuple] = []
+        held: list[tuple] = []  # doc, tag, start, numbers of its segments
+        known: dict[bytes, int] = {}
+        counts: list[int] = []
+        copies: list[int] = []
         size = 0
 
         def told():
-            found = repeated_windows([h[4] for h in held], [h[3] for h in held], window)
-            some = [(h[0], h[1], ranges_of(f, h[2])) for h, f in zip(held, found, strict=True) if f.any()]
-            if some:
-                d, g, s = zip(*some, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(g, pa.int64()), pa.array(s, pa.binary())], ["doc", "tag", "spans"])
+            found = repeated_windows(list(known), counts, window)
+            found = [np.ones(len(f), bool) if c > 1 else f for f, c in zip(found, copies, strict=True)]
+            docs, tags, spans = [], [], []
+            for doc, tag, start, parts in held:
+                flags = np.concatenate([found[k] for k in parts])
+                if flags.any():
+                    docs.append(doc)
+                    tags.append(tag)
+                    spans.append(ranges_of(flags, start))
+            if docs:
+                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(tags, pa.int64()), pa.array(spans, pa.binary())], ["doc", "tag", "spans"])
 
         shard = None
         for b in batches:
-            for s, doc, tag, start, n, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for s, doc, tag, start, n, cuts, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if s != shard and size >= TOGETHER:
                     yield from told()
-                    held, size = [], 0
+                    for x in (held, known, counts, copies):
+                        x.clear()
+                    size = 0
                 shard = s
-                held.append((doc, tag, start, n, body))
-                size += n
+                parts = []
+                for first, last in zip(cuts, [*cuts[1:], n], strict=True):
+                    piece = body[first : last + window - 1]
+                    k = known.setdefault(piece, len(counts))
+                    if k == len(counts):
+                        counts.append(last - first)
+                        copies.append(0)
+                        size += last - first
+                    copies[k] += 1
+                    parts.append(k)
+                held.append((doc, tag, start, parts))
         if held:
             yield from told()
 

@@ -73,7 +73,7 @@ def run(spark, rows, op, least, columns):
     return sorted(((r.doc, *(r[c] for c in columns), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in op(df, least).collect()), key=str)
 
 
-@pytest.mark.parametrize("hot", [repeats.HOT, 3])
+@pytest.mark.parametrize("hot", [repeats.HOT, 3, 1])
 def test_words(spark, monkeypatch, hot):
     monkeypatch.setattr(repeats, "HOT", hot)
     rows = corpus(1)
@@ -81,7 +81,7 @@ def test_words(spark, monkeypatch, hot):
     assert run(spark, rows, automaton.remove_repeated, 5, ["n_units", "n_removed"]) == plain_words(rows, 5)
 
 
-@pytest.mark.parametrize("hot", [repeats.HOT, 3])
+@pytest.mark.parametrize("hot", [repeats.HOT, 3, 1])
 def test_bytes(spark, monkeypatch, hot):
     monkeypatch.setattr(repeats, "HOT", hot)
     rows = corpus(2)
