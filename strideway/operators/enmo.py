@@ -9,6 +9,7 @@ from strideway.operators.clean import XYZ, worn
 from strideway.operators.grid import KEYS, day_type, resample
 from strideway.operators.impute import impute_missing
 from strideway.operators.steps import ENOUGH, hour_profile, over_week, period_of
+from strideway.session import written
 
 NAME = "ENMO(mg)"
 
@@ -28,7 +29,8 @@ def summarize_enmo(samples: DataFrame, adjust: bool = False, enough: dict[str, f
     """minutely, hourly, daily (time, enmo), averages by kind of day, hour profile. Wear counts minutes with a value."""
     minutes = by_minute(samples, keys)
     if adjust:
-        minutes = impute_missing(minutes, ["enmo"], period=period_of(minutes, 60.0, keys), keys=keys)
+        minutes = written(minutes, "enmo-minutes")
+        minutes = written(impute_missing(minutes, ["enmo"], period=period_of(minutes, 60.0, keys), keys=keys), "enmo-imputed")
     found = {}
     for name, grain in (("minutely", "minute"), ("hourly", "hour"), ("daily", "day")):
         mean = F.avg("enmo")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from strideway.functions.scalar import clock, whole
 from strideway.operators.grid import KEYS, bin_of, day_type, micros, resample
 from strideway.operators.impute import impute_days, impute_missing
+from strideway.session import written
 
 #: Minutes of wear that an adjusted bin needs more than.
 ENOUGH = {"minute": 0.5, "hour": 50, "day": 21 * 60}
@@ -113,8 +114,8 @@ def summarize_steps(epochs: DataFrame, dt: DataFrame | float, steptol: int = 3,
     """minutely, hourly, daily (time, Steps, Walk, Steps5thAt ...), steps and walk by kind of day, hour profiles, mean share times."""
     walk = walking(epochs, steptol)
     if adjust:
-        walk = adjusted(walk, "Walk", dt, keys)
-        epochs = adjusted(epochs, "Steps", dt, keys)
+        walk = written(adjusted(walk, "Walk", dt, keys), "walk")
+        epochs = written(adjusted(epochs, "Steps", dt, keys), "steps")
     limit = enough if adjust else dict.fromkeys(enough)
     over = over_week if adjust else over_days
     minutes = lambda grain: resample(with_dt(walk, dt, keys), grain, keys, Walk=gated(F.sum("Walk"), "Walk", limit[grain]) * F.first("dt") / 60)

@@ -12,6 +12,7 @@ from strideway.operators import clean, steps
 from strideway.operators import enmo as E
 from strideway.operators.bouts import bouts
 from strideway.operators.grid import KEYS
+from strideway.session import written
 
 SUFFIX = {"overall": "", "weekend": "_Weekend", "weekday": "_Weekday"}
 STATS = {"total": "Total{0}", "avg": "{0}DayAvg", "med": "{0}DayMed", "min": "{0}DayMin", "max": "{0}DayMax"}
@@ -43,8 +44,10 @@ def hour_metrics(profile: DataFrame, value: str, name: str) -> DataFrame:
 
 
 def pivoted(metrics: DataFrame) -> DataFrame:
-    """One row for each recording, one column for each metric. Names are few and known once collected."""
-    names = sorted(r[0] for r in metrics.select("metric").distinct().collect())
+    """One row for each recording, one column for each metric. Names are few and known once collected; what one kind of day has, the other has too."""
+    names = {r[0] for r in metrics.select("metric").distinct().collect()}
+    ends = tuple(s for s in SUFFIX.values() if s)
+    names = sorted(names | {n.removesuffix(e) + s for n in names for e in ends if n.endswith(e) for s in ends})
     return metrics.groupBy("recording").pivot("metric", names).agg(F.first("value"))
 
 
@@ -53,14 +56,17 @@ def full_join(frames: list[DataFrame], keys: list[str] = [*KEYS, "time"]) -> Dat
 
 
 def tables(epochs: DataFrame, samples: DataFrame, dt: DataFrame | float, steptol: int = 3, min_walk_per_day: int = 5, enough: dict[str, float] = steps.ENOUGH, min_walk: float = 0.8, max_idle: int = 3) -> dict[str, DataFrame]:
-    """Every table of a report by the name of its file, and Info, for any number of recordings."""
+    """Every table of a report by the name of its file, and Info, for any number of recordings.
+
+    Epochs and each table are written down once, as several others are made of them."""
+    epochs = written(epochs, "epochs")
     out: dict[str, DataFrame] = {}
     metrics: list[DataFrame] = []
-    cadence = C.daily_cadence(epochs, dt, steptol, min_walk_per_day)
+    cadence = written(C.daily_cadence(epochs, dt, steptol, min_walk_per_day), "cadence")
     for adjust in (False, True):
         a = "Adjusted" if adjust else ""
-        s = steps.summarize_steps(epochs, dt, steptol, adjust, enough)
-        e = E.summarize_enmo(samples, adjust, enough)
+        s = {k: written(v, k) for k, v in steps.summarize_steps(epochs, dt, steptol, adjust, enough).items()}
+        e = {k: written(v, f"enmo-{k}") for k, v in E.summarize_enmo(samples, adjust, enough).items()}
         name = lambda df: df.withColumnRenamed("enmo", E.NAME)
         for grain in ("minutely", "hourly"):
             out[f"{grain.capitalize()}{a}"] = full_join([s[grain], name(e[grain])]).withColumnsRenamed({"recording": "Filename", "time": "Time"})

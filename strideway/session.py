@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -38,3 +41,18 @@ def prepare(spark: SparkSession) -> SparkSession:
     sc.addPyFile(path)
     sc._strideway_shipped = True
     return spark
+
+
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """df written to the folder that all executors share and read back: a short plan for what follows, and nothing to compute again when an executor is lost."""
+    spark = df.sparkSession
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not top:
+        sc = spark.sparkContext
+        if not getattr(sc, "_strideway_tables", None):
+            sc._strideway_tables = tempfile.mkdtemp(prefix="strideway-tables-")
+            atexit.register(shutil.rmtree, sc._strideway_tables, True)
+        top = f"file://{sc._strideway_tables}"
+    path = f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
