@@ -54,18 +54,29 @@ def bands(v: np.ndarray, rate: int, n: int = 5) -> dict[str, float]:
     return {f"fft{i}": power[i] for i in range(n + 1)}
 
 
-def peaks(v: np.ndarray, rate: int) -> dict[str, float]:
-    at, stand = dsp.find_peaks(dsp.butterfilt(v, 5, rate), distance=0.2 * rate, prominence=0.25)
+def peaks(v: np.ndarray, rate: int, smooth: np.ndarray | None = None) -> dict[str, float]:
+    """smooth: v low-passed at 5 Hz, if that is done already."""
+    at, stand = dsp.find_peaks(dsp.butterfilt(v, 5, rate) if smooth is None else smooth, distance=0.2 * rate, prominence=0.25)
     some = stand if len(stand) else np.zeros(1)
     return {"npeaks": len(at) / (len(v) / rate), "peaks_avg_promin": some.mean(), "peaks_min_promin": some.min(), "peaks_max_promin": some.max()}
 
 
+def extract_many(windows: list[np.ndarray | None], rate: int = 100) -> list[dict[str, float]]:
+    """Features of windows of shape (n, 3); none if one is missing, lacks a value, or is two seconds or shorter. Windows of a length are filtered together."""
+    out: list[dict[str, float]] = [{} for _ in windows]
+    by_length: dict[int, list[int]] = {}
+    for i, w in enumerate(windows):
+        if w is not None and len(w) > MIN_SECONDS * rate and not np.isnan(w).any():
+            by_length.setdefault(len(w), []).append(i)
+    for at in by_length.values():
+        v = np.clip(dsp.median5(np.linalg.norm(np.stack([windows[i] for i in at]), axis=-1)) - 1, -2, 2)
+        for i, own, smooth in zip(at, v, dsp.butterfilt(v, 5, rate, axis=-1), strict=True):
+            out[i] = moments(own) | quantiles(own) | autocorrelations(own, rate) | spectrum(own, rate) | bands(own, rate) | peaks(own, rate, smooth)
+    return out
+
+
 def extract(xyz: np.ndarray, rate: int = 100) -> dict[str, float]:
-    """Features of a window of shape (n, 3); none if a value is missing or it is two seconds or shorter."""
-    if np.isnan(xyz).any() or len(xyz) <= MIN_SECONDS * rate:
-        return {}
-    v = np.clip(dsp.median5(np.linalg.norm(xyz, axis=1)) - 1, -2, 2)
-    return moments(v) | quantiles(v) | autocorrelations(v, rate) | spectrum(v, rate) | bands(v, rate) | peaks(v, rate)
+    return extract_many([xyz], rate)[0]
 
 
 def stacked(x: pd.Series, y: pd.Series, z: pd.Series) -> list[np.ndarray | None]:
@@ -78,7 +89,7 @@ def features_of(x: Column, y: Column, z: Column, rate: int) -> Column:
 
     @F.pandas_udf(SCHEMA)
     def run(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([extract(w, rate) if w is not None else {} for w in stacked(a, b, c)], columns=NAMES).astype(float)
+        return pd.DataFrame(extract_many(stacked(a, b, c), rate), columns=NAMES).astype(float)
 
     return run(x, y, z)
 
@@ -88,13 +99,15 @@ def step_peaks(x: Column, y: Column, z: Column, rate: int, distance: float = 0.5
 
     @F.pandas_udf("array<double>")
     def run(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
-        out: list = []
-        for w in stacked(a, b, c):
-            if w is None or np.isnan(w).any():
-                out.append(None)
-            else:
-                at, _ = dsp.find_peaks(dsp.magnitude(w, rate, lowpass), distance * rate, prominence)
-                out.append((at / rate).tolist())
+        windows = stacked(a, b, c)
+        out: list = [None] * len(windows)
+        by_length: dict[int, list[int]] = {}
+        for i, w in enumerate(windows):
+            if w is not None and len(w) and not np.isnan(w).any():
+                by_length.setdefault(len(w), []).append(i)
+        for at in by_length.values():  # windows of a length are filtered together
+            for i, v in zip(at, dsp.magnitude(np.stack([windows[i] for i in at]), rate, lowpass), strict=True):
+                out[i] = (dsp.find_peaks(v, distance * rate, prominence)[0] / rate).tolist()
         return pd.Series(out, dtype=object)
 
     return run(x, y, z)
