@@ -29,6 +29,8 @@ from strideway.llm.common import SPACE, arrow_map, materialise, slices, texts
 
 #: Digests of a memtable.
 MEMTABLE = 50_000
+#: Rows whose digests make a bucket, at most on average.
+BUCKET = 200_000
 #: Runs of a level that are merged into one of the next.
 FANOUT = 4
 #: Bits of the filter of digests with more than one row; more of them only let more rows through to the comparison of bytes.
@@ -163,7 +165,8 @@ def index_of(rows: DataFrame) -> DataFrame:
     """(digest, minus, key, n): the compacted index of rows (digest, minus, key)."""
     spark = rows.sparkSession
     runs = arrow_map(rows.select("digest", "minus", F.coalesce("key", F.lit(LAST)).alias("key"), F.lit(1).cast("long").alias("n")), _flushed, ENTRIES)
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # A bucket's index is held by one task.
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // BUCKET))
     return arrow_map(runs.repartition(buckets, "digest"), _flushed, ENTRIES)
 
 

@@ -85,6 +85,25 @@ ORACLES: dict[str, str] = {
         ), r AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM s)
         SELECT * FROM r WHERE rank <= 5
     """,
+    "op2_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), x AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM d
+        ), y AS (
+            SELECT doc_id, j, word, string_agg(word, ' ') OVER f AS seq, count(*) OVER f = 20 AS whole
+            FROM x WINDOW f AS (PARTITION BY doc_id ORDER BY j ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)
+        ), z AS (SELECT *, whole AND row_number() OVER (PARTITION BY whole, seq ORDER BY doc_id, j) > 1 AS again FROM y
+        ), g AS (SELECT *, max(again::INT) OVER (PARTITION BY doc_id ORDER BY j ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) = 1 AS gone FROM z
+        ), k AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY j) FILTER (NOT gone) AS kept FROM g GROUP BY doc_id)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+    """,
+    "op5_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages
+        ), q AS (SELECT *, min(page_id) OVER (PARTITION BY body) AS first FROM p)
+        SELECT page_id, strlen(body) AS payload_bytes,
+               array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, (i // 4 * 5 + 1)::INTEGER, 5))::INTEGER >> (15 - 5 * (i % 4))::INTEGER) & 31), 1)), '') AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM q
+    """,
     "op4_exact_dedup": r"""
         WITH t AS (
             SELECT doc_id, coalesce(text, '') AS original, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents
@@ -138,6 +157,22 @@ ORACLES: dict[str, str] = {
         )
         SELECT doc_id, source, size, source_size, target, (whole * size + least(size, greatest(0, quota - whole * shard_size - ahead)))::BIGINT AS taken FROM o
     """,
+    "op9_suffix_array": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+        ), x AS (SELECT doc_id, unnest(range(0, len(h) // 2 - 199)) AS i, h FROM d WHERE len(h) >= 400
+        ), y AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 400)) AS m FROM x
+        ), r AS (SELECT m FROM y GROUP BY m HAVING count(*) > 1
+        ), w AS (SELECT doc_id, i FROM y SEMI JOIN r USING (m)
+        ), e AS (SELECT doc_id, i, coalesce(i - lag(i) OVER o > 200, true) AS fresh FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+        ), n AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM e
+        ), s AS (SELECT doc_id, span, min(i) AS a, max(i) + 200 AS b FROM n GROUP BY ALL
+        ), gaps AS (SELECT doc_id, span, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p, a, b FROM s
+        ), k AS (
+            SELECT doc_id, count(*) AS n_spans, sum(b - a)::BIGINT AS n_removed, string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept
+            FROM gaps JOIN d USING (doc_id) GROUP BY doc_id
+        )
+        SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+    """,
     "op10_url_filter": r"""
         WITH r AS (
             SELECT page_id, contains(coalesce(url, ''), '://') AS ok, substr(url, strpos(url, '://') + 3) AS rest FROM pages

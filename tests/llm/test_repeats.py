@@ -8,7 +8,8 @@ import pytest
 
 from strideway.llm import automaton, repeats, suffixes
 from strideway.llm import minimizers as M
-from strideway.llm.queries import op2_substring_dedup, op9_suffix_array
+from strideway.llm.queries import ORACLES, op2_substring_dedup, op9_suffix_array
+from tests.llm.oracle import same
 
 SCHEMA = "doc_id long, text string, doc string, tag string, kept string, spans int"
 LAST = 2**63 - 1
@@ -161,3 +162,9 @@ def test_whole_tables(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert sorted((tuple(r) for r in op2_substring_dedup(spark, sf).collect()), key=str) == plain_words(rows, 20)
     assert sorted((tuple(r) for r in op9_suffix_array(spark, sf).collect()), key=str) == plain_bytes(rows, 200)
+
+
+def test_queries_against_sql(spark):
+    for sf in ("/root/testdata/sf0.001", "/root/testdata/sf0.01"):
+        for f in (op2_substring_dedup, op9_suffix_array):
+            same(f(spark, sf), ORACLES[f.__name__], sf)

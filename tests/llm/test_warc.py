@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from strideway.llm import warc
-from strideway.llm.queries import op5_warc
+from strideway.llm.queries import ORACLES, op5_warc
+from tests.llm.oracle import same
 
 SCHEMA = "page_id long, url string, html string, key string, ts string, archive int"
 def when():
@@ -59,3 +60,8 @@ def test_loser_tree():
 def test_query(spark, sf):
     rows = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
     assert sorted((tuple(r) for r in op5_warc(spark, sf).collect()), key=str) == expected(rows)
+
+
+def test_query_against_sql(spark):
+    for sf in ("/root/testdata/sf0.01", "/root/testdata/sf0.1"):
+        same(op5_warc(spark, sf), ORACLES["op5_warc"], sf)
