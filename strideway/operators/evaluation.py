@@ -118,3 +118,13 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     """(notwalk, walk): weights of the two classes in training, nine times the ratio of walk to other windows, and one."""
     n = lambda v: F.sum((F.col(label) == v).cast("int"))
     return df.agg(F.try_divide(n(1) * 9.0, n(0)).alias("notwalk"), F.lit(1.0).alias("walk"))
+
+
+def cross_predict(df: DataFrame, folds: DataFrame, group: str, fit) -> DataFrame:
+    """Rows as models predict them that have not seen their group: fit(train) gives a function from rows to predicted rows. folds: (group, fold)."""
+    rows = df.join(F.broadcast(folds), group)
+    out = None
+    for k in sorted(r.fold for r in folds.select("fold").distinct().collect()):  # a model for each fold
+        part = fit(rows.filter(F.col("fold") != k))(rows.filter(F.col("fold") == k))
+        out = part if out is None else out.unionByName(part)
+    return out

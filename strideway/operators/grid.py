@@ -73,6 +73,19 @@ def windows_from_start(df: DataFrame, seconds: float, values: list[str], keys: l
     return out.select(*keys, "window_start", F.coalesce("n", F.lit(0)).alias("n"), *[field_of(F.col("_rows"), v).alias(v) for v in values])
 
 
+def map_windows(df: DataFrame, seconds: float, fn, schema: str, keys: list[str] = KEYS, time: str = "time") -> DataFrame:
+    """A function of one's own for each window anchored at a recording's first sample: it gets the window's rows as a pandas frame in time order and returns one that fits the schema."""
+    us = int(seconds * 1e6)
+    first = df.groupBy(*keys).agg(F.min(micros(time)).alias("_from"))
+    placed = df.join(first, keys).withColumn("window_start", at_micros(F.col("_from") + F.floor((micros(time) - F.col("_from")) / us) * us)).drop("_from")
+    return placed.groupBy(*keys, "window_start").applyInPandas(lambda part: fn(part.sort_values(time, ignore_index=True)), schema)
+
+
+def ordered_distinct(df: DataFrame, value: str, position: str) -> DataFrame:
+    """(value, position) of the first appearance of every value; ordered by position they are distinct values in order."""
+    return df.groupBy(value).agg(F.min(position).alias(position))
+
+
 def fixed_length(values: Column, length: int) -> Column:
     """An array of just `length` values: cut if longer, continued from its own start if more than half, else NULL."""
     n = F.size(values)

@@ -62,12 +62,12 @@ class ForestDetector:
         """Learn from labelled windows; returns (window, label, fold, score, predicted) as cross-validation predicts them."""
         rows = evaluation.sample_weight(self._featured(windows), label, self.pnr).withColumn(label, F.col(label).cast("double")).persist()
         folds = evaluation.ordered_folds(rows, group, "window_start", self.cv)
-        rows_f = rows.join(F.broadcast(folds), group)
-        out = None
-        for k in [r.fold for r in folds.select("fold").distinct().orderBy("fold").collect()]:  # one forest for each fold
-            model = self._train(rows_f.filter(F.col("fold") != k), label)
-            part = model.transform(rows_f.filter(F.col("fold") == k)).select(group, "window_start", label, "weight", "fold", vector_to_array("probability")[1].alias("score"))
-            out = part if out is None else out.unionByName(part)
+
+        def trained(part: DataFrame):
+            model = self._train(part, label)
+            return lambda test: model.transform(test).select(group, "window_start", label, "weight", "fold", vector_to_array("probability")[1].alias("score"))
+
+        out = evaluation.cross_predict(rows, folds, group, trained)
         cv = out.persist()
         best = evaluation.calibrate(cv, "score", label, F.col("weight")).filter("goal = 'balanced_accuracy'").first()
         self.thresh = float(best.thresh) if best else 0.5

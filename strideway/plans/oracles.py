@@ -279,4 +279,11 @@ ORACLES = {
     )
     + " FROM a GROUP BY recording",
     "collate_union": "SELECT n_name AS name, n_nationkey::INTEGER AS key, NULL::VARCHAR AS kind FROM nation UNION ALL SELECT r_name, r_regionkey::INTEGER, 'region' FROM region",
+    "labels_encoded": "WITH l AS (SELECT list_sort(list(DISTINCT role)) AS l FROM conversations) SELECT conv_id, turn, role, (list_position(l, role) - 1)::INTEGER AS code, role AS again FROM conversations, l",
+    "ordered_distinct": "SELECT source, min(doc_id) AS doc_id FROM documents GROUP BY source",
+    "example_windows": """WITH o AS (SELECT event_type AS pid, date_trunc('day', min(ts)) AS o FROM events GROUP BY ALL),
+        b AS (SELECT pid, time_bucket(INTERVAL 2 HOUR, ts, o) AS w, count(*) AS n, (sum((user_id % 7 = 0)::INT) >= 2)::INTEGER AS walk FROM events JOIN o ON pid = event_type GROUP BY ALL HAVING count(*) >= 4)
+        SELECT pid, strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, n, walk FROM b QUALIFY row_number() OVER (PARTITION BY walk ORDER BY pid, w) <= CASE WHEN walk = 1 THEN 10 ELSE 5 END""",
+    "windows_mapped": """WITH o AS (SELECT event_type AS recording, min(ts) AS o FROM events GROUP BY ALL)
+        SELECT recording, strftime(time_bucket(INTERVAL 1 DAY, ts, o), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n, round(max(value) - min(value), 2) AS spread FROM events JOIN o ON recording = event_type GROUP BY recording, time_bucket(INTERVAL 1 DAY, ts, o)""",
 }

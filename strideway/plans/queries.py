@@ -17,7 +17,7 @@ from strideway.operators import bouts as B
 from strideway.operators import cadence as C
 from strideway.operators import clean, evaluation, grid, hmm, impute, steps
 from strideway.operators import enmo as E
-from strideway.plans.training import resized, training_windows
+from strideway.plans.training import decoded, encoded, examples, resized, training_windows
 from strideway.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -468,3 +468,36 @@ def collate_union(spark, sf):
     a = read(spark, sf, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").cast("int").alias("key"))
     b = read(spark, sf, "region").select(F.col("r_regionkey").cast("int").alias("key"), F.col("r_name").alias("name"), F.lit("region").alias("kind"))
     return a.unionByName(b, allowMissingColumns=True)
+
+
+@query
+def labels_encoded(spark, sf):
+    """Roles as positions among the labels in order, and back."""
+    c = read(spark, sf, "conversations")
+    labels = hmm.labels_of(c, "role")
+    at = encoded(F.col("role"), labels)
+    return c.select("conv_id", "turn", "role", at.alias("code"), decoded(at, labels).alias("again"))
+
+
+@query
+def ordered_distinct(spark, sf):
+    return grid.ordered_distinct(read(spark, sf, "documents"), "source", "doc_id")
+
+
+@query
+def example_windows(spark, sf):
+    e = read(spark, sf, "events").select(F.col("event_type").alias("pid"), F.col("ts").alias("time"), *[F.lit(1.0).alias(a) for a in "xyz"], (F.col("user_id") % 7 == 0).cast("int").alias("annotation"))
+    return examples(training_windows(e, 7200, 4, steptol=2)).select("pid", text("window_start").alias("window_start"), "n", "walk")
+
+
+@query
+def windows_mapped(spark, sf):
+    """A function of one's own over each window: its rows and the spread of its values."""
+    import pandas as pd
+
+    def spread(part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"recording": part["recording"][:1], "window_start": part["window_start"][:1], "n": [len(part)], "spread": [part["value"].max() - part["value"].min()]})
+
+    e = read(spark, sf, "events").select(F.col("event_type").alias("recording"), F.col("ts").alias("time"), "value")
+    out = grid.map_windows(e, 86400, spread, "recording string, window_start timestamp_ntz, n long, spread double")
+    return out.select("recording", text("window_start").alias("window_start"), "n", r("spread", 2).alias("spread"))

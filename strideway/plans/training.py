@@ -30,6 +30,41 @@ def good(first: Column, last: Column, n: Column, values: list[Column], length: i
     return whole & (n == length) & (F.abs(took - seconds) < 0.01 * seconds)
 
 
+def examples(df: DataFrame, n_walk: int = 10, n_other: int = 5) -> DataFrame:
+    """The first windows of each class, as a plot of examples shows them."""
+    place = F.row_number().over(Window.partitionBy("walk").orderBy("pid", "window_start"))
+    return df.withColumn("_i", place).filter(F.col("_i") <= F.when(F.col("walk") == 1, n_walk).otherwise(n_other)).drop("_i")
+
+
+def encoded(c: Column, labels: list) -> Column:
+    """Position of a label among the labels, from 0; NULL for another."""
+    at = F.array_position(F.array(*[F.lit(x) for x in labels]), c)
+    return F.when(at > 0, (at - 1).cast("int"))
+
+
+def decoded(c: Column, labels: list) -> Column:
+    """The label at a position from 0; NULL beyond the labels."""
+    return F.when((c >= 0) & (c < len(labels)), F.element_at(F.array(*[F.lit(x) for x in labels]), c.cast("int") + 1))
+
+
+class EarlyStopping:
+    """Tells a training loop when its loss has not gained for `patience` rounds; keep() is called with every best state."""
+
+    def __init__(self, patience: int = 5, least_gain: float = 0.0, keep=None):
+        self.patience, self.least_gain, self.keep = patience, least_gain, keep
+        self.best, self.waited, self.stop = float("inf"), 0, False
+
+    def __call__(self, loss: float, state=None) -> bool:
+        if loss < self.best - self.least_gain:
+            self.best, self.waited = loss, 0
+            if self.keep:
+                self.keep(state)
+        else:
+            self.waited += 1
+            self.stop = self.waited >= self.patience
+        return self.stop
+
+
 def resized(df: DataFrame, column: str, length: int) -> DataFrame:
     """Arrays of a column by linear interpolation at `length` even places from the first to the last value."""
 

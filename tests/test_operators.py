@@ -257,3 +257,12 @@ def test_command_line(spark, tmp_path):
 def test_steps_without_short(spark):
     df = frame(spark, [START, START + dt.timedelta(hours=1)], [2, None])
     assert [r.Steps for r in steps.without_short(df).orderBy("time").collect()] == [0.0, None]
+
+
+def test_early_stopping():
+    from strideway.plans.training import EarlyStopping
+
+    kept = []
+    stop = EarlyStopping(2, keep=kept.append)
+    assert [stop(x, i) for i, x in enumerate([3, 2, 2.5, 1, 1.5, 1.2])] == [False, False, False, False, False, True]
+    assert kept == [0, 1, 3] and stop.best == 1
