@@ -46,7 +46,7 @@ class Pieces(dict):
 class Codec:
     """ranks_path: a file of base64 token and rank on each line; pattern: what splits a text into pre-tokens."""
 
-    def __init__(self, ranks_path: str, pattern: str, cache: int = 200_000):
+    def __init__(self, ranks_path: str, pattern: str, cache: int = 50_000):
         import regex
         import tiktoken
 
