@@ -84,8 +84,8 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(ids: list[np.ndarray], labels: list[str], *, dims: int = 16, epochs: int = 12, rate: float = 0.5, minibatch: int = 32, most_rejected: float = 0.001, seed: int = 7) -> Model:
-    """Train on rows of subword buckets. Deterministic for rows in a given order."""
+def fit(ids: list[np.ndarray], labels: list[str], *, dims: int = 16, epochs: int = 12, rate: float = 0.5, minibatch: int = 32, most_rejected: float = 0.001, most_threshold: float = 0.4, seed: int = 7) -> Model:
+    """Train on rows of subword buckets. Deterministic for rows in a given order. The threshold rejects a share most_rejected of held-back rows, and is never above most_threshold: a text of two languages is unsure, not bad."""
     names = sorted(set(labels))
     y = np.asarray([names.index(x) for x in labels], int)
     rng = np.random.default_rng(seed)
@@ -122,7 +122,7 @@ def fit(ids: list[np.ndarray], labels: list[str], *, dims: int = 16, epochs: int
         grid = np.geomspace(0.05, 20, 61)
         loss = [-np.log(softmax(z / t)[np.arange(len(held)), y[held]] + 1e-12).mean() for t in grid]
         model.temperature = float(grid[int(np.argmin(loss))])
-        model.threshold = float(min(0.5, np.quantile(softmax(z / model.temperature).max(1), most_rejected)))
+        model.threshold = float(min(most_threshold, np.quantile(softmax(z / model.temperature).max(1), most_rejected)))
     return model
 
 
@@ -177,7 +177,7 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
 
     def run(batches):
         m = sent.value
-        for b in slices(batches, "text", 1 << 20):
+        for b in slices(batches, "text", 1 << 18):
             names, score, ok = judge(m, b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(ok)], ["key", "lang_pred", "score", "accepted"])
 
@@ -191,7 +191,7 @@ def accepted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def run(batches):
         m = sent.value
-        for b in slices(batches, text, 1 << 20):
+        for b in slices(batches, text, 1 << 18):
             yield b.filter(pa.array(judge(m, b.column(at).to_pylist())[2]))
 
     return docs.mapInArrow(run, docs.schema)
