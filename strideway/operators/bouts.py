@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strideway.operators.enmo import enmo
-from strideway.operators.grid import KEYS, asof_nearest, at_micros, micros
+from strideway.operators.grid import KEYS, asof_nearest, at_micros, micros, with_first
 from strideway.operators.steps import walking, with_dt
 
 
@@ -78,7 +78,6 @@ def epoch_enmo(samples: DataFrame, epochs: DataFrame, dt: DataFrame | float, key
     rows = with_dt(samples.select(*keys, "time", enmo().alias("enmo")), dt, keys)
     us = F.round(F.col("dt") * 1e6).cast("long")
     # Bins start at midnight of each recording's first day.
-    first = F.floor(F.min(micros("time")).over(Window.partitionBy(*keys)) / 86_400_000_000) * 86_400_000_000
-    binned = rows.withColumn("t0", first).withColumn("time", at_micros(F.col("t0") + F.floor((micros("time") - F.col("t0")) / us) * us))
+    binned = with_first(rows, keys).withColumn("t0", F.floor(F.col("_from") / 86_400_000_000) * 86_400_000_000).withColumn("time", at_micros(F.col("t0") + F.floor((micros("time") - F.col("t0")) / us) * us))
     means = binned.groupBy(*keys, "time").agg(F.avg("enmo").alias("enmo"))
     return asof_nearest(with_dt(epochs.select(*keys, "time"), dt, keys), means, ["enmo"], F.col("dt"), keys).select(*keys, "time", "enmo")

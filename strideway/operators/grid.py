@@ -56,16 +56,24 @@ def spine(bins: DataFrame, grain: str, keys: list[str] = KEYS, time: str = "time
 
 
 def resample(df: DataFrame, grain: str, keys: list[str] = KEYS, time: str = "time", **aggs: Column) -> DataFrame:
-    """Aggregates by midnight-anchored bin, empty bins included (their aggregates are NULL)."""
-    found = df.groupBy(*keys, bin_of(grain, time).alias(time)).agg(*[c.alias(k) for k, c in aggs.items()])
-    return spine(found, grain, keys, time).join(found, [*keys, time], "left")
+    """Aggregates by midnight-anchored bin, empty bins included (their aggregates are NULL).
+
+    Each bin fills the gap to the next one itself, so df is read once and nothing is joined."""
+    found = df.groupBy(*keys, bin_of(grain, time).alias("_bin")).agg(*[c.alias(k) for k, c in aggs.items()])
+    following = F.lead("_bin").over(Window.partitionBy(*keys).orderBy("_bin"))
+    filled = found.withColumn("_next", following).withColumn(time, F.explode(F.expr(f"sequence(_bin, coalesce(_next - {STEP[grain]}, _bin), {STEP[grain]})")))
+    return filled.select(*keys, time, *[F.when(F.col(time) == F.col("_bin"), F.col(k)).alias(k) for k in aggs])
+
+
+def with_first(df: DataFrame, keys: list[str] = KEYS, time: str = "time") -> DataFrame:
+    """df with _from, the microseconds of its key's first row: a row for each key is joined back, so raw samples of a recording needn't meet in one task."""
+    return df.join(df.groupBy(*keys).agg(F.min(micros(time)).alias("_from")), keys)
 
 
 def windows_from_start(df: DataFrame, seconds: float, values: list[str], keys: list[str] = KEYS, time: str = "time") -> DataFrame:
     """(keys, window_start, n, values as arrays in time order): windows anchored at a recording's first sample, empty ones included."""
     us = int(seconds * 1e6)
-    first = F.min(micros(time)).over(Window.partitionBy(*keys))
-    placed = df.withColumn("_from", first).withColumn("_w", F.floor((micros(time) - first) / us))
+    placed = with_first(df, keys, time).withColumn("_w", F.floor((micros(time) - F.col("_from")) / us))
     rows = F.sort_array(F.collect_list(F.struct(F.col(time).alias("t"), *values)))
     found = placed.groupBy(*keys, "_from", "_w").agg(F.count("*").alias("n"), rows.alias("_rows"))
     every = found.groupBy(*keys, "_from").agg(F.explode(F.sequence(F.lit(0).cast("long"), F.max("_w"))).alias("_w"))
@@ -76,8 +84,7 @@ def windows_from_start(df: DataFrame, seconds: float, values: list[str], keys: l
 def map_windows(df: DataFrame, seconds: float, fn, schema: str, keys: list[str] = KEYS, time: str = "time") -> DataFrame:
     """A function of one's own for each window anchored at a recording's first sample: it gets the window's rows as a pandas frame in time order and returns one that fits the schema."""
     us = int(seconds * 1e6)
-    first = df.groupBy(*keys).agg(F.min(micros(time)).alias("_from"))
-    placed = df.join(first, keys).withColumn("window_start", at_micros(F.col("_from") + F.floor((micros(time) - F.col("_from")) / us) * us)).drop("_from")
+    placed = with_first(df, keys, time).withColumn("window_start", at_micros(F.col("_from") + F.floor((micros(time) - F.col("_from")) / us) * us)).drop("_from")
     return placed.groupBy(*keys, "window_start").applyInPandas(lambda part: fn(part.sort_values(time, ignore_index=True)), schema)
 
 

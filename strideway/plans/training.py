@@ -8,14 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strideway.operators.clean import XYZ
-from strideway.operators.grid import at_micros, field_of, micros
+from strideway.operators.grid import at_micros, field_of, micros, with_first
 
 
 def training_windows(df: DataFrame, seconds: float, length: int, steptol: int = 3) -> DataFrame:
     """(pid, window_start, n, x, y, z, steps, walk): windows anchored at midnight; short ones are left out, longer ones cut. Steps of windows that aren't walks are 0."""
     us = int(seconds * 1e6)
-    first = F.floor(F.min(micros("time")).over(Window.partitionBy("pid")) / 86_400_000_000) * 86_400_000_000
-    rows = df.withColumn("w", first + F.floor((micros("time") - first) / us) * us)
+    midnight = F.floor(F.col("_from") / 86_400_000_000) * 86_400_000_000
+    rows = with_first(df, ["pid"]).withColumn("w", midnight + F.floor((micros("time") - midnight) / us) * us)
     got = rows.groupBy("pid", "w").agg(F.count("*").alias("n"), F.sum("annotation").alias("steps"), F.sort_array(F.collect_list(F.struct("time", *XYZ))).alias("rows")).filter(F.col("n") >= length)
     walk = (F.col("steps") >= steptol).cast("int")
     return got.select("pid", at_micros(F.col("w")).alias("window_start"), "n", *[field_of(F.slice("rows", 1, length), a).alias(a) for a in XYZ], F.when(walk == 1, F.col("steps")).otherwise(0).alias("steps"), walk.alias("walk"))
