@@ -144,14 +144,15 @@ def numbered(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def packed(rows: DataFrame) -> DataFrame:
-    """(doc, tag, z): texts compressed."""
+    """(doc, tag, z, size): texts compressed, and their bytes before."""
 
     def run(batches):
         press = zstandard.ZstdCompressor(level=1)
         for b in slices(batches, "text", 4 << 20):
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([press.compress(t) for t in texts(b.column(2))], pa.binary())], ["doc", "tag", "z"])
+            raw = texts(b.column(2))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([press.compress(t) for t in raw], pa.binary()), pa.array([len(t) for t in raw], pa.int64())], ["doc", "tag", "z", "size"])
 
-    return arrow_map(rows, run, "doc long, tag long, z binary")
+    return arrow_map(rows, run, "doc long, tag long, z binary, size long")
 
 
 def unpacked(z: bytes) -> bytes:
@@ -162,10 +163,10 @@ def _passages(u: Units):
     """Runs of a document's candidate segments that go to one shard, and each hot segment by itself."""
 
     def run(batches):
-        for b in slices(batches, "z", 1 << 20):
+        for b in slices(batches, "size", 2 << 20):
             out: list[tuple] = []
             size = 0
-            for doc, tag, z, found in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for doc, tag, z, _, found in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 units = u.cut(unpacked(z))
                 found.sort(key=lambda s: s["start"])
                 at = 0
@@ -276,7 +277,7 @@ def _hot(rows: DataFrame, u: Units, keep_first: bool) -> tuple[list[DataFrame],
     for level in range(1, LEVELS + 1):
         rows = rows.withColumn("text_id", F.sha2("body", 256))
         known = materialise(rows.groupBy("shard", "text_id").agg(F.count("*").alias("copies"), F.min(pos).alias("first"), F.max("multi").alias("m")), "hot-texts")
-        keys = known.groupBy("shard").agg(F.count("*").alias("d"), F.sum("copies").alias("c"), F.max("m").alias("km")).filter("c > 1 or km")
+        keys = materialise(known.groupBy("shard").agg(F.count("*").alias("d"), F.sum("copies").alias("c"), F.max("m").alias("km")).filter("c > 1 or km"), "hot-keys")
         told = materialise(known.join(keys, "shard").select(F.col("text_id").alias("id"), F.col("shard").alias("s"), "copies", "first", "d"), "hot-known")
         met = rows.join(told, (F.col("text_id") == F.col("id")) & (F.col("shard") == F.col("s")))
         met = materialise(met.select("shard", "doc", "tag", "start", "n", "body", "copies", "d", (pos == F.col("first")).alias("own")), "hot-met")
@@ -306,7 +307,7 @@ def repeated(rows: DataFrame, u: Units, compare: Callable, keep_first: bool) ->
     known = materialise(keys.select("key", (F.col("c") > HOT).alias("hot"), F.when(F.col("c") > HOT, F.col("key")).otherwise(shard).alias("shard")), "keys")
     found = segs.join(known, "key").select("doc", "tag", F.struct("start", "n", "hot", "shard").alias("s"))
     by_doc = found.groupBy("doc", "tag").agg(F.collect_list("s").alias("segs"))  # no more than a document's own
-    with_text = packed(rows).join(by_doc, ["doc", "tag"]).select("doc", "tag", "z", "segs")
+    with_text = packed(rows).join(by_doc, ["doc", "tag"]).select("doc", "tag", "z", "size", "segs")
     passages = materialise(arrow_map(with_text, _passages(u), PASSAGES), "passages")
     # A hot key's segments are compared whatever their number inside, so multi is as good as set.
     hot = passages.filter("hot").select("shard", "doc", "tag", "start", "n", "body", F.lit(True).alias("multi"))
@@ -330,12 +331,12 @@ def covered(spans: list[bytes] | None, n: int, window: int) -> np.ndarray:
 
 def removed(rows: DataFrame, spans: DataFrame, u: Units) -> DataFrame:
     """(doc, n_units, n_removed, n_spans, kept) of every row."""
-    joined = packed(rows).join(spans, ["doc", "tag"], "left").select("doc", "z", "spans")
+    joined = packed(rows).join(spans, ["doc", "tag"], "left").select("doc", "z", "size", "spans")
 
     def run(batches):
-        for b in slices(batches, "z", 2 << 20):
+        for b in slices(batches, "size", 2 << 20):
             n_units, n_removed, n_spans, kept = [], [], [], []
-            for z, found in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for z, found in zip(b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True):
                 text = unpacked(z)
                 units = u.cut(text)
                 gone = covered(found, len(units), u.window)

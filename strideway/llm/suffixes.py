@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from strideway.llm.repeats import Units, numbered, ranges_of, removed, repeated
 
 #: Different windows that are sorted together, about; shards are never split.
-TOGETHER = 1 << 18
+TOGETHER = 1 << 17
 
 
 def _words_at(t: np.ndarray) -> np.ndarray:
@@ -79,10 +79,10 @@ def suffix_array(t: np.ndarray, wanted: np.ndarray, window: int) -> np.ndarray:
     # smaller[i]: suffix i is smaller than suffix i + 1. Equal bytes are decided by the next different one; the last by convention.
     step = np.sign(t[1:].astype(np.int16) - t[:-1].astype(np.int16)).astype(np.int8)
     at = np.flatnonzero(step)
-    after = at.searchsorted(np.arange(n - 1))
     smaller = np.ones(n, bool)
-    known = after < len(at)
-    smaller[: n - 1][known] = step[at[after[known]]] > 0
+    # Every place up to a difference is decided by that difference.
+    if len(at):
+        smaller[: at[-1] + 1] = np.repeat(step[at] > 0, np.diff(at, prepend=-1))
     # A larger suffix is induced by its successor, which so has to be in the array too.
     direct_at = np.flatnonzero(smaller)
     have = wanted.copy()
