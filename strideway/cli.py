@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from strideway.functions.scalar import resolve_path
 from strideway.operators import clean, prepare
 from strideway.operators.grid import infer_period
-from strideway.plans.model import StepCounter
+from strideway.plans.model import StepModel
 from strideway.plans.report import tables
 from strideway.session import build, written
 from strideway.sources import readers, sinks
@@ -81,10 +81,10 @@ def process(spark, args) -> None:
             print(sinks.console(info))
             continue
         if args.model:
-            counter = StepCounter.load(args.model)
+            counter = StepModel.load(args.model)
         else:
             dt = infer_period(samples).first().dt
-            counter = StepCounter(window_sec=10, sample_rate=round(1 / dt), steptol=4, distance=0.3, prominence=0.25)
+            counter = StepModel(window_sec=10, sample_rate=round(1 / dt), steptol=4, distance=0.3, prominence=0.25)
         predicted = written(counter.predict_samples(samples), "predicted")
         enough = {"minute": args.min_wear_per_minute, "hour": args.min_wear_per_hour, "day": args.min_wear_per_day}
         out = tables(predicted.select("recording", "time", "Steps"), samples, counter.window_sec, counter.steptol, args.min_walk_per_day, enough, args.bouts_min_walk, args.bouts_max_idle)

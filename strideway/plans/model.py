@@ -171,7 +171,7 @@ def nelder_mead(f: Callable[[np.ndarray], float], start: list[float], bounds: li
 
 
 @dataclass
-class StepCounter:
+class StepModel:
     """Counts steps in fixed windows. Steps of windows with fewer than steptol are 0, though their times stay."""
 
     detector: Any = field(default_factory=ThresholdDetector)
@@ -215,7 +215,7 @@ class StepCounter:
         """(recording, time) of every step."""
         return predicted.select("recording", micros("time").alias("us"), F.explode("times").alias("s")).select("recording", at_micros(F.col("us") + F.round(F.col("s") * 1e6)).alias("time"))
 
-    def fit(self, windows: DataFrame, steps: str = "steps") -> StepCounter:
+    def fit(self, windows: DataFrame, steps: str = "steps") -> StepModel:
         """Train detector and peak search on windows (recording, window_start, x, y, z, steps)."""
         rows = windows.filter(complete()).withColumn("w_true", (F.col(steps) >= self.steptol).cast("int")).withColumn("y_true", F.when(F.col(steps) >= self.steptol, F.col(steps)).otherwise(0).cast("double"))
         cv = self.detector.fit(rows, "w_true") if hasattr(self.detector, "fit") else None
@@ -269,12 +269,12 @@ class StepCounter:
         Path(folder, "model.json").write_text(json.dumps(par, indent=1))
 
     @staticmethod
-    def load(folder: str) -> StepCounter:
+    def load(folder: str) -> StepModel:
         from pyspark.ml.classification import RandomForestClassificationModel
 
         par = json.loads(Path(folder, "model.json").read_text())
         forest, least = par.pop("forest", None), par.pop("least", None)
-        out = StepCounter(**par)
+        out = StepModel(**par)
         if forest:
             s = Smoother(forest["labels"], *[np.asarray(forest[k]) for k in ("startprob", "emissionprob", "transmat")])
             out.detector = ForestDetector(forest["sample_rate"], thresh=forest["thresh"], smoother=s, forest=RandomForestClassificationModel.load(f"{folder}/forest"))

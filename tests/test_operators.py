@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strideway.operators import clean, evaluation, grid, hmm, impute, prepare, steps
-from strideway.plans.model import ForestDetector, NetworkDetector, StepCounter, ThresholdDetector
+from strideway.plans.model import ForestDetector, NetworkDetector, StepModel, ThresholdDetector
 from strideway.plans.report import tables
 from strideway.plans.training import augmented
 from strideway.sources import readers, sinks
@@ -137,7 +137,7 @@ def test_prepare(spark):
 
 def test_counter_end_to_end(spark):
     two = recording(spark, "a").unionByName(recording(spark, "b", walking=(1, 2)))
-    c = StepCounter(ThresholdDetector(), window_sec=10, sample_rate=25, steptol=4, distance=0.3, prominence=0.25)
+    c = StepModel(ThresholdDetector(), window_sec=10, sample_rate=25, steptol=4, distance=0.3, prominence=0.25)
     out = c.predict_samples(two).persist()
     total = {r.recording: r.s for r in out.groupBy("recording").agg(F.sum("Steps").alias("s")).collect()}
     assert total["a"] == pytest.approx(240, abs=14) and total["b"] == pytest.approx(120, abs=8)
@@ -151,7 +151,7 @@ def test_counter_end_to_end(spark):
     assert set(t) >= {"Daily", "DailyAdjusted", "Hourly", "HourlyAdjusted", "Minutely", "MinutelyAdjusted", "Steps"}
     assert t["Daily"].columns[0] == "Filename" and t["Minutely"].filter("Filename = 'a'").count() == 6
     with pytest.raises(RuntimeError):
-        StepCounter().predict(c.windows(two))
+        StepModel().predict(c.windows(two))
 
 
 def test_training_saving_and_network(spark, tmp_path):
@@ -163,11 +163,11 @@ def test_training_saving_and_network(spark, tmp_path):
             noise = lambda: rng.normal(0, 0.01, 125)
             rows.append((f"P{g:02}", START + dt.timedelta(seconds=5 * k), (x + noise()).tolist(), (y + noise()).tolist(), (z + noise()).tolist(), 10 if k % 2 else 0))
     w = spark.createDataFrame(rows, "recording string, window_start timestamp_ntz, x array<double>, y array<double>, z array<double>, steps int")
-    c = StepCounter(ForestDetector(25, n_trees=10, cv=2), 5, 25, 3).fit(w)
+    c = StepModel(ForestDetector(25, n_trees=10, cv=2), 5, 25, 3).fit(w)
     accuracy = next(s for s in c.scores["walk_detector"] if s["metric"] == "accuracy")
     assert accuracy["mean"] > 0.9 and next(s for s in c.scores["step_counter"] if s["metric"] == "mae")["mean"] < 2
     c.save(str(tmp_path / "m"))
-    again = StepCounter.load(str(tmp_path / "m"))
+    again = StepModel.load(str(tmp_path / "m"))
     a, b = (m.predict(w).orderBy("recording", "time").select("Steps").collect() for m in (c, again))
     assert a == b and sum(r.Steps for r in a) > 150
 
