@@ -3,9 +3,10 @@
 Sources by code point (null last) weigh 1, 2, 3, repeating, and share all words; a target stops at
 three times its source's size and the excess is shared anew by weight. Words are handed out in
 blocks of equal size: blocks go to sources, then within a source to shards of its documents, each
-time by the highest quotients value / (2 k + 1). In a shard, documents stand in an order seeded by
-a hash; its quota takes the whole shard as often as it fits (three times at most), then blocks
-from the front of that order.
+time by the highest quotients value / (2 k + 1). A source has as many shards as its own words fill
+with many blocks. What is over three times a shard goes to the source's shards that have room, so a
+source gets its blocks whole. In a shard, documents stand in an order seeded by a hash; its quota
+takes the whole shard as often as it fits (three times at most), then blocks from the front of that order.
 
 Only quotients near the last one that gets a block are compared: what surely gets one is counted
 by rounding. So the work depends on the numbers of sources and shards, not on that of blocks.
@@ -24,8 +25,8 @@ from strideway.llm.common import WORD, materialise
 
 REPEATS = 3
 SEED = 7
-#: Documents of a shard, about; and the largest block in words.
-SHARD_ROWS, LARGEST_BLOCK = 4_000, 4096
+#: Documents of a shard, about; the largest block in words; and the fewest blocks of a shard where its source has several.
+SHARD_ROWS, LARGEST_BLOCK, SHARD_BLOCKS = 4_000, 4096, 32
 P = "__mix_"
 
 
@@ -72,29 +73,45 @@ def apportion(items: DataFrame, group: list[str], item: list[str], value: str, s
     return x.join(won, [*group, *item], "left").withColumn(out, F.col("_lo") + F.coalesce("_more", F.lit(0))).drop("_n", "_v", "_lo", "_hi", "_open", "_more")
 
 
-def quotas(rows: DataFrame) -> DataFrame:
-    """(src, shard, source_size, target, shard_size, quota) for rows (src, source, shard, size): quota in words, at most three times the shard's size."""
-    # What documents tell is summed before it is dealt out: a row for each source and shard.
-    shards = materialise(rows.groupBy(f"{P}src", f"{P}shard").agg(F.sum(f"{P}size").alias("shard_size"), F.first(f"{P}source").alias("source")).withColumnsRenamed({f"{P}src": "src", f"{P}shard": "shard"}), "shards")
-    sources = shards.groupBy("src", "source").agg(F.sum("shard_size").alias("source_size"))
+def refilled(shards: DataFrame) -> DataFrame:
+    """shards (src, shard, shard_size, block, shard_seats) with quota: words of the seats, and what is over three times a shard given to the source's shards with room, in order."""
+    source = Window.partitionBy("src")
+    before = source.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    won, most = F.col("shard_seats") * F.col("block"), F.col("shard_size") * REPEATS
+    x = shards.withColumn("_room", F.greatest(F.lit(0), most - won)).withColumn("_over", F.sum(F.greatest(F.lit(0), won - most)).over(source))
+    more = F.least(F.col("_room"), F.greatest(F.lit(0), F.col("_over") - F.coalesce(F.sum("_room").over(before), F.lit(0))))
+    return x.withColumn("quota", F.least(won, most) + more).drop("_room", "_over")
+
+
+def quotas(rows: DataFrame, n: int) -> DataFrame:
+    """(src, cell, shard, source_size, target, shard_size, quota) for rows (src, source, cell, size), cells below n: the shard of each cell and its quota in words, at most three times its size."""
+    # What documents tell is summed before it is dealt out: a row for each source and cell.
+    cells = materialise(rows.groupBy(f"{P}src", f"{P}cell").agg(F.sum(f"{P}size").alias("cell_size"), F.first(f"{P}source").alias("source")).withColumnsRenamed({f"{P}src": "src", f"{P}cell": "cell"}), "cells")
+    sources = cells.groupBy("src", "source").agg(F.sum("cell_size").alias("source_size"))
     aimed = targets(sources)
     every = Window.partitionBy()
     least = F.min(F.when(F.col("target") > 0, F.col("target"))).over(every)
     aimed = aimed.withColumn("block", F.greatest(F.lit(1), F.least(F.lit(LARGEST_BLOCK), F.floor(F.coalesce(least, F.lit(0.0)) / 100))).cast("long"))
     aimed = aimed.withColumn("blocks", F.floor(F.col("all_words") / F.col("block") + 0.5).cast("long")).withColumn("all", F.lit(1))
-    per_source = materialise(apportion(aimed, ["all"], ["rank"], "target", "blocks", "seats").select("src", "source_size", "target", "block", "seats"), "sources")
-    spread = apportion(shards.select("src", "shard", "shard_size").join(per_source, "src"), ["src"], ["shard"], "shard_size", "seats", "shard_seats")
-    return spread.select("src", "shard", "source_size", "target", "shard_size", F.least(F.col("shard_seats") * F.col("block"), F.col("shard_size") * REPEATS).alias("quota"))
+    # A small source beside a large corpus would have shards of less than a block.
+    aimed = aimed.withColumn("shards", F.greatest(F.lit(1), F.least(F.lit(n), F.expr(f"source_size div (block * {SHARD_BLOCKS})"))).cast("long"))
+    per_source = materialise(apportion(aimed, ["all"], ["rank"], "target", "blocks", "seats").select("src", "source_size", "target", "block", "shards", "seats"), "sources")
+    sharded = cells.join(per_source, "src").withColumn("shard", F.col("cell") % F.col("shards"))
+    shards = sharded.groupBy("src", "shard", "block", "seats").agg(F.sum("cell_size").alias("shard_size"))
+    spread = refilled(apportion(shards, ["src"], ["shard"], "shard_size", "seats", "shard_seats"))
+    return sharded.select("src", "cell", "shard", "source_size", "target").join(spread.select("src", "shard", "shard_size", "quota"), ["src", "shard"])
 
 
 def _take(rows: DataFrame, key: str, source: str, seed: int) -> DataFrame:
     """rows, which have a size under P, with source_size, target and taken under P."""
     n = max(1, -(-rows.count() // SHARD_ROWS))
     rows = rows.withColumn(f"{P}source", F.col(source).cast("string")).withColumn(f"{P}src", F.coalesce(F.concat(F.lit("s"), f"{P}source"), F.lit("n")))
-    rows = rows.withColumn(f"{P}at", order_of(key, seed)).withColumn(f"{P}shard", F.conv(F.substring(f"{P}at", 1, 8), 16, 10).cast("long") % n)
-    found = materialise(quotas(rows), "quotas").select(F.col("src").alias(f"{P}q_src"), F.col("shard").alias(f"{P}q_shard"), *[F.col(c).alias(f"{P}{c}") for c in ("source_size", "target", "shard_size", "quota")])
-    joined = rows.join(found, (F.col(f"{P}src") == F.col(f"{P}q_src")) & (F.col(f"{P}shard") == F.col(f"{P}q_shard")))
-    before = Window.partitionBy(f"{P}src", f"{P}shard").orderBy(f"{P}at", key, f"{P}size").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn(f"{P}at", order_of(key, seed)).withColumn(f"{P}cell", F.conv(F.substring(f"{P}at", 1, 8), 16, 10).cast("long") % n)
+    found = materialise(quotas(rows, n), "quotas").select(F.col("src").alias(f"{P}q_src"), F.col("cell").alias(f"{P}q_cell"), *[F.col(c).alias(f"{P}{c}") for c in ("shard", "source_size", "target", "shard_size", "quota")])
+    joined = rows.join(found, (F.col(f"{P}src") == F.col(f"{P}q_src")) & (F.col(f"{P}cell") == F.col(f"{P}q_cell")))
+    # Rows without words get none wherever they stand: they keep to their cells, as no words bound their number in a shard.
+    joined = joined.withColumn(f"{P}part", F.when(F.col(f"{P}size") > 0, -1).otherwise(F.col(f"{P}cell")))
+    before = Window.partitionBy(f"{P}src", f"{P}shard", f"{P}part").orderBy(f"{P}at", key, f"{P}size").rowsBetween(Window.unboundedPreceding, -1)
     ahead = F.coalesce(F.sum(f"{P}size").over(before), F.lit(0))
     whole = F.coalesce(F.expr(f"{P}quota div nullif({P}shard_size, 0)"), F.lit(0))
     rest = F.col(f"{P}quota") - whole * F.col(f"{P}shard_size")

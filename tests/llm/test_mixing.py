@@ -48,6 +48,24 @@ def test_targets_limits_and_reruns(spark, monkeypatch):
     assert mixing.plan(docs.limit(0)).count() == 0 and mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_small_source_in_many_shards_gets_its_target(spark, monkeypatch):
+    rnd = random.Random(8)
+    rows = [(i, "w " * rnd.randrange(20, 60), "big", "", "", 1) for i in range(4000)] + [(9000 + i, "w " * rnd.randrange(5, 40), "small", "", "", 1) for i in range(40)]
+    monkeypatch.setattr(mixing, "SHARD_ROWS", 50)
+    got = mixing.plan(spark.createDataFrame(rows, SCHEMA)).collect()
+    small = [r for r in got if r.source == "small"]
+    assert small[0].target == 3 * small[0].source_size
+    taken = sum(r.taken for r in small)
+    assert 0.99 * small[0].target <= taken <= small[0].target and all(r.taken >= 2 * r.size for r in small)
+
+
+def test_what_a_shard_cannot_hold_goes_to_others(spark):
+    rows = [("a", 0, 10, 40, 1), ("a", 1, 30, 40, 1), ("a", 2, 5, 40, 0), ("b", 0, 10, 40, 2), ("b", 1, 10, 40, 0), ("n", 0, 0, 40, 0)]
+    df = spark.createDataFrame(rows, "src string, shard long, shard_size long, block long, shard_seats long")
+    got = {(r.src, r.shard): r.quota for r in mixing.refilled(df).collect()}
+    assert got == {("a", 0): 30, ("a", 1): 50, ("a", 2): 0, ("b", 0): 30, ("b", 1): 30, ("n", 0): 0}
+
+
 def test_apportion_is_sainte_lague(spark):
     rnd = random.Random(9)
     for seats in (0, 1, 7, 100, 1003):
