@@ -4,7 +4,9 @@ Subwords are runs of three or four bytes of the lower-cased text that don't reac
 end; each hashes to a bucket with an embedding. A text's embedding is the mean over all its
 subwords, wherever they stand, so whole texts count. Training is stochastic gradient descent in
 numpy over a bounded, hash-chosen sample of labelled rows. A held-back tenth of the sample sets a
-temperature (calibration) and the confidence below which a text is rejected.
+temperature (calibration) and what a text is rejected by: its confidence, and its share of known
+subwords, which training has met. A text in no learned language hits known buckets by chance only and is
+rejected however sure the softmax is; one of several learned languages is unsure, but all known, and stays.
 
 As softmax is linear in the embedding, prediction keeps embedding x weights: one small row of
 scores for each bucket, of fixed size.
@@ -41,6 +43,10 @@ class Model:
     bias: np.ndarray
     temperature: float
     threshold: float
+    #: Buckets that training has met; the share of them from which an unsure text is accepted; and below which any is rejected.
+    seen: np.ndarray | None = None
+    familiar: float = 0.0
+    strange: float = 0.0
 
 
 def subwords(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -68,15 +74,19 @@ def subwords(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return out, counts
 
 
-def logits(model: Model, texts: list[str | None]) -> np.ndarray:
-    """Mean score of each label over the subwords of each text."""
-    ids, counts = subwords(texts)
-    out = np.zeros((len(texts), len(model.labels)))
+def means(rows: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Mean of the rows of each text's subwords; 0 for a text without any."""
+    out = np.zeros((len(counts), rows.shape[1]))
     some = np.flatnonzero(counts)
     if len(some):
         starts = np.concatenate([[0], np.cumsum(counts)])[some]
-        out[some] = np.add.reduceat(model.scores[ids], starts, axis=0) / counts[some, None]
-    return out + model.bias
+        out[some] = np.add.reduceat(rows[ids], starts, axis=0) / counts[some, None]
+    return out
+
+
+def logits(model: Model, texts: list[str | None]) -> np.ndarray:
+    """Mean score of each label over the subwords of each text."""
+    return means(model.scores, *subwords(texts)) + model.bias
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -84,8 +94,8 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(ids: list[np.ndarray], labels: list[str], *, dims: int = 16, epochs: int = 12, rate: float = 0.5, minibatch: int = 32, most_rejected: float = 0.001, most_threshold: float = 0.4, seed: int = 7) -> Model:
-    """Train on rows of subword buckets. Deterministic for rows in a given order. The threshold rejects a share most_rejected of held-back rows, and is never above most_threshold: a text of two languages is unsure, not bad."""
+def fit(ids: list[np.ndarray], labels: list[str], *, dims: int = 16, epochs: int = 12, rate: float = 0.5, minibatch: int = 32, most_rejected: float = 0.001, seed: int = 7) -> Model:
+    """Train on rows of subword buckets. Deterministic for rows in a given order. threshold and familiar are what a share most_rejected of held-back rows is below; strange is half way from familiar to the share that chance gives."""
     names = sorted(set(labels))
     y = np.asarray([names.index(x) for x in labels], int)
     rng = np.random.default_rng(seed)
@@ -117,12 +127,21 @@ def fit(ids: list[np.ndarray], labels: list[str], *, dims: int = 16, epochs: int
             np.add.at(emb, flat, -lr * sizes.mean() * back[owner])
             step += 1
     model = Model(names, emb @ w, bias, 1.0, 0.0)
+    if len(held):
+        met = np.bincount(np.concatenate([np.unique(ids[i]) for i in rows]), minlength=1 << BUCKET_BITS)
+        model.seen = met > 0
+        model.familiar = float(np.quantile([model.seen[ids[i]].mean() if len(ids[i]) else 1.0 for i in held], most_rejected))
+        chance = model.seen.mean()
+        model.strange = float(chance + max(0.0, model.familiar - chance) / 2)
     if len(held) and len(names) > 1:
         z = np.stack([model.scores[ids[i]].mean(0) if len(ids[i]) else np.zeros(len(names)) for i in held]) + bias
-        grid = np.geomspace(0.05, 20, 61)
-        loss = [-np.log(softmax(z / t)[np.arange(len(held)), y[held]] + 1e-12).mean() for t in grid]
+        # Targets short of 1, as by Platt: rows that are all told apart have a best temperature above 0.
+        aim = np.full((len(held), len(names)), 1 / (len(held) + 2) / (len(names) - 1))
+        aim[np.arange(len(held)), y[held]] = 1 - 1 / (len(held) + 2)
+        grid = np.geomspace(0.002, 20, 121)
+        loss = [-(aim * np.log(softmax(z / t) + 1e-300)).sum(1).mean() for t in grid]
         model.temperature = float(grid[int(np.argmin(loss))])
-        model.threshold = float(min(most_threshold, np.quantile(softmax(z / model.temperature).max(1), most_rejected)))
+        model.threshold = float(np.quantile(softmax(z / model.temperature).max(1), most_rejected))
     return model
 
 
@@ -164,10 +183,13 @@ def judge(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray,
     known = np.asarray([t is not None and LETTER.search(t) is not None for t in texts], bool)
     if not model.labels:
         return [UNKNOWN] * len(texts), np.zeros(len(texts)), known
-    p = softmax(logits(model, texts) / model.temperature)
+    ids, counts = subwords(texts)
+    p = softmax((means(model.scores, ids, counts) + model.bias) / model.temperature)
     best = p.argmax(1)
     score = np.where(known, p[np.arange(len(texts)), best], 0.0)
-    return [model.labels[i] if k else UNKNOWN for i, k in zip(best, known, strict=True)], score, known & (score >= model.threshold)
+    share = means(model.seen[:, None], ids, counts)[:, 0] if model.seen is not None else np.ones(len(texts))
+    ok = known & (share >= model.strange) & ((score >= model.threshold) | (share >= model.familiar))
+    return [model.labels[i] if k else UNKNOWN for i, k in zip(best, known, strict=True)], score, ok
 
 
 def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

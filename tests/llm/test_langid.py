@@ -24,6 +24,26 @@ def test_learns_and_handles_odd_texts(spark):
     assert kept.columns == ["doc_id", "text", "lang", "score", "key"] and kept.filter("doc_id in (1, 2, 3)").count() == 0
 
 
+def test_rejects_what_was_not_learned_and_keeps_mixtures(spark):
+    import random
+
+    rnd = random.Random(1)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [r for r in docs.collect() if r.text and langid.LETTER.search(r.text)]
+    for labels in (["de", "en", "es", "fr"], ["de", "en"]):
+        some = docs.filter(docs.lang.isin(labels))
+        model = langid.train(some)
+        assert 0 < model.strange < model.familiar <= 1 and 0.002 < model.temperature < 20
+        for letters in ("абвгдежзиклмнопрстуфхцчшщыэюя", "αβγδεζηθικλμνξοπρστυφχψω", "".join(map(chr, range(0x4E00, 0x5600))), "bcdfghjklmnpqrstvwxz"):
+            texts = [" ".join("".join(rnd.choices(letters, k=rnd.randrange(2, 9))) for _ in range(rnd.randrange(5, 80))) for _ in range(100)]
+            assert not langid.judge(model, texts)[2].any()
+        clean = [r.text for r in rows if r.lang in labels]
+        assert langid.judge(model, clean)[2].mean() > 0.995
+        by = {x: [r.text for r in rows if r.lang == x][:40] for x in labels}
+        mixed = [" ".join(a.split()[:50] + b.split()[:50]) for a, b in zip(by["de"], by["en"])]
+        assert langid.judge(model, mixed)[2].all()
+
+
 def test_no_labels_and_empty(spark):
     docs = spark.createDataFrame([(1, "text", None, "", "")], SCHEMA)
     model = langid.train(docs)
