@@ -6,7 +6,8 @@ remove_repeated() has the corpus itself as reference, which has no bound: there,
 automaton is built by the task that streams the shard's passages, as sending every automaton to
 every document would take time with the square of the corpus (see repeats for how passages find
 their shard). Passages come in document order; one that has a window not seen before is added to
-the automaton, and a window goes if its words also start earlier.
+the automaton, and a window goes if its words also start earlier. A passage shared by too many documents for one
+automaton meets several, each of which hands on what it hasn't seen before.
 
 Words are whatever [^\\x20\\x09-\\x0D]+ matches, unchanged. Cases: a null or empty text has no words;
 texts shorter than a window lose nothing; rows that share a key are documents of their own, in the
@@ -16,6 +17,7 @@ empty table gives no rows; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,78 +26,97 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strideway.llm.common import arrow_map, slices, texts
-from strideway.llm.repeats import Units, covered, numbered, ranges_of, removed, repeated
+from strideway.llm.repeats import Units, between, covered, found_batch, numbered, ranges_of, remaining, removed, repeated, runs_of, word_edges
 
 #: Words of a reference shard, and the largest reference that is broadcast.
 SHARD_WORDS, MOST_WORDS = 100_000, 5_000_000
+#: Words of a shard of the corpus as its own reference.
+MOST = 1 << 17
 
 
 class Automaton:
-    """Suffix automaton of several word sequences. A state stands for the word strings that end at the same places; `first` is the smallest such place."""
+    """Suffix automaton of several word sequences. A state stands for the word strings that end at the same places; `first` is the smallest such place.
+
+    Most states have one transition, which stands in two arrays (word, to); further ones are in `more`."""
 
     def __init__(self):
-        self.next: list[dict] = [{}]
-        self.link = [-1]
-        self.length = [0]
-        self.first = [-1]
+        self.ids: dict[bytes, int] = {}
+        self.word, self.to = array("i", [-1]), array("i", [0])
+        self.more: dict[int, dict[int, int]] = {}
+        self.link, self.length, self.first = array("i", [-1]), array("i", [0]), array("i", [-1])
         self.words = 0
 
-    def add(self, words: list) -> int:
+    def _next(self, state: int, w: int) -> int:
+        """The state after w, or -1."""
+        if self.word[state] == w:
+            return self.to[state]
+        more = self.more.get(state)
+        return more.get(w, -1) if more else -1
+
+    def _lead(self, state: int, w: int, to: int) -> None:
+        if self.word[state] in (-1, w):
+            self.word[state], self.to[state] = w, to
+        else:
+            self.more.setdefault(state, {})[w] = to
+
+    def _state(self, length: int, first: int, link: int, word: int = -1, to: int = 0) -> int:
+        for x, v in ((self.length, length), (self.first, first), (self.link, link), (self.word, word), (self.to, to)):
+            x.append(v)
+        return len(self.link) - 1
+
+    def add(self, words: list[bytes]) -> int:
         """Add a sequence; returns the place of its first word. Places go on from one sequence to the next."""
-        nxt, link, length, first = self.next, self.link, self.length, self.first
+        link, length, ids = self.link, self.length, self.ids
         base, last = self.words, 0
-        for at, w in enumerate(words, base):
-            q = nxt[last].get(w)
-            if q is not None:
-                if length[q] == length[last] + 1:
-                    last = q
-                    continue
-                last = self._clone(last, w, q)
+        for at, word in enumerate(words, base):
+            w = ids.setdefault(word, len(ids))
+            q = self._next(last, w)
+            if q >= 0:
+                last = q if length[q] == length[last] + 1 else self._clone(last, w, q)
                 continue
-            cur = len(nxt)
-            nxt.append({})
-            length.append(length[last] + 1)
-            first.append(at)
-            link.append(0)
+            cur = self._state(length[last] + 1, at, 0)
             p = last
-            while p >= 0 and w not in nxt[p]:
-                nxt[p][w] = cur
+            while p >= 0 and (q := self._next(p, w)) < 0:
+                self._lead(p, w, cur)
                 p = link[p]
             if p >= 0:
-                q = nxt[p][w]
                 link[cur] = q if length[q] == length[p] + 1 else self._clone(p, w, q)
             last = cur
         self.words = base + len(words)
         return base
 
-    def _clone(self, p: int, w, q: int) -> int:
-        nxt, link = self.next, self.link
-        c = len(nxt)
-        nxt.append(dict(nxt[q]))
-        self.length.append(self.length[p] + 1)
-        self.first.append(self.first[q])
-        link.append(link[q])
-        link[q] = c
-        while p >= 0 and nxt[p].get(w) == q:
-            nxt[p][w] = c
-            p = link[p]
+    def _clone(self, p: int, w: int, q: int) -> int:
+        c = self._state(self.length[p] + 1, self.first[q], self.link[q], self.word[q], self.to[q])
+        if q in self.more:
+            self.more[c] = dict(self.more[q])
+        self.link[q] = c
+        while p >= 0 and self._next(p, w) == q:
+            self._lead(p, w, c)
+            p = self.link[p]
         return c
 
-    def matches(self, words: list, window: int, before: int | None = None) -> np.ndarray:
+    def matches(self, words: list[bytes], window: int, before: int | None = None) -> np.ndarray:
         """For each word, whether the window that ends with it is in the automaton; with `before`, whether it ends there at an earlier place than before + the word's index."""
-        nxt, link, length, first = self.next, self.link, self.length, self.first
+        word, to, more, link, length, first = self.word, self.to, self.more, self.link, self.length, self.first
         state = size = 0
         out = bytearray(len(words))
-        for i, w in enumerate(words):
-            to = nxt[state].get(w)
-            while to is None and state:
+        for i, w in enumerate(map(self.ids.get, words)):
+            if w is None:
+                state = size = 0
+                continue
+            while True:
+                if word[state] == w:
+                    step = to[state]
+                    break
+                step = more[state].get(w, -1) if state in more else -1
+                if step >= 0 or not state:
+                    break
                 state = link[state]
                 size = length[state]
-                to = nxt[state].get(w)
-            if to is None:
+            if step < 0:
                 size = 0
                 continue
-            state, size = to, size + 1
+            state, size = step, size + 1
             if size >= window:
                 while length[link[state]] >= window:
                     state = link[state]
@@ -105,34 +126,36 @@ class Automaton:
 
 
 def _compare(window: int):
-    """Passages of a shard in document order -> which of their windows were there before."""
+    """Passages of a shard in document order -> which of their windows were there before; of a part of a shard also the others, to be handed on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, auto = None, Automaton()
-        for b in batches:
-            docs, tags, spans = [], [], []
-            for s, doc, tag, start, body in zip(*(b.column(i).to_pylist() for i in (0, 1, 2, 3, 6)), strict=True):
-                if s != shard:
-                    shard, auto = s, Automaton()
+        for b in slices(batches, "body", 1 << 20):
+            gone, on = [], []
+            for s, part, doc, tag, start, whole, body in zip(*(b.column(i).to_pylist() for i in (0, 1, 2, 3, 4, 7, 8)), strict=True):
+                if (s, part) != shard:
+                    shard, auto = (s, part), Automaton()
                 words = body.split()
                 ends = auto.matches(words, window) if auto.words else np.zeros(len(words), bool)
                 if not ends[window - 1 :].all():
                     ends = auto.matches(words, window, auto.add(words))
-                if ends.any():
-                    docs.append(doc)
-                    tags.append(tag)
-                    spans.append(ranges_of(ends[window - 1 :], start))
-            if docs:
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(tags, pa.int64()), pa.array(spans, pa.binary())], ["doc", "tag", "spans"])
+                again = ends[window - 1 :]
+                if again.any():
+                    gone.append((doc, tag, ranges_of(again, start)))
+                if not whole and not again.all():
+                    edges = word_edges(np.frombuffer(body, np.uint8))
+                    on += [(doc, tag, s, start + a, z - a, between(body, edges, a, z + window - 1)) for a, z in runs_of(~again).tolist()]
+            if gone or on:
+                yield found_batch(gone, on)
 
     return run
 
 
-def remove_repeated(docs: DataFrame, least: int = 20, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, n_units, n_removed, n_spans, kept): documents without the words covered by a window of `least` words that also starts earlier; kept words are joined by a blank. Windows are judged on the whole input."""
-    u = Units(window=least, gram=8 if least >= 16 else 1, block=512, words=True)
+def remove_repeated(docs: DataFrame, least: int = 20, key: str = "doc_id", text: str = "text", most: int = MOST) -> DataFrame:
+    """(doc, n_units, n_removed, n_spans, kept): documents without the words covered by a window of `least` words that also starts earlier; kept words are joined by a blank. Windows are judged on the whole input. most: words of an automaton."""
+    u = Units(window=least, gram=8 if least >= 16 else 1, block=512, words=True, most=most)
     rows = numbered(docs, key, text)
-    return removed(rows, repeated(rows, u, _compare(least), keep_first=True), u)
+    return removed(rows, repeated(rows, u, _compare(least)), u)
 
 
 def remove_known(docs: DataFrame, reference: DataFrame, least: int = 20, key: str = "doc_id", text: str = "text", most_words: int = MOST_WORDS) -> DataFrame:
@@ -163,7 +186,7 @@ def remove_known(docs: DataFrame, reference: DataFrame, least: int = 20, key: st
                 for a in autos:
                     ends |= a.matches(words, least)
                 gone = covered([ranges_of(ends[least - 1 :])], len(words), least)
-                out.append((len(words), int(gone.sum()), int((gone[1:] & ~gone[:-1]).sum() + gone[:1].sum()), b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])))
+                out.append((len(words), int(gone.sum()), len(runs_of(gone)), remaining(t, word_edges(np.frombuffer(t, np.uint8)), gone)))
             cols = list(zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], ["doc", "n_units", "n_removed", "n_spans", "kept"])
 

@@ -1,25 +1,27 @@
 """Windows that repeat anywhere in a corpus: how texts are cut up and sent where repeats can meet.
 
 Shared by the removal of repeated word passages (suffix automata) and of repeated byte strings
-(suffix arrays), which differ in how a shard's passages are compared.
+(suffix arrays), which decide what repeats; here is only decided where passages meet.
 
 1. Every text is cut into segments (see minimizers); a window can only repeat where its segment's
    key does. Keys that occur once, and not twice inside their segment, end here.
-2. A key's shard is the block of the first document that has it, so neighbouring segments of a copy stay
-   together: they travel as one passage, once, to the shard they share, and are compared there.
-   A key that occurs more than HOT times would make its shard large. Its segments are grouped by
-   their text, so that copies meet as counts; of each text only the first occurrence goes on. Keys with few
-   texts left are compared like any shard; the others' texts are cut anew by another order of hashes,
-   again and again. Each cut sets apart more of what texts share from what is their own. Windows of
-   what is left after LEVELS cuts are grouped by digest.
-3. What is to go returns to its document as ranges of window starts.
-
-Texts are dealt out by document twice, compressed.
+2. A key's shard is the block, in the first document that has it, in which it first stands. Neighbouring
+   segments of a copy so stay together: they travel as one passage, once, to the shard they share.
+   A block whose keys have more than `most` units in all is a shard for each of its keys.
+3. A shard of at most `most` units is compared by one task. A larger one, as a passage that a third of all documents
+   share makes, is dealt out to parts by document. A part is compared like any shard; besides what repeats in
+   it, it hands on one occurrence (the first) of each different window. So copies shrink to one for each part.
+   What is handed on is cut anew by another order of hashes, which sets apart what texts share from what is their
+   own, and goes through 3 again with a shard for each old one and new key. What LEVELS cuts haven't told
+   apart is dealt out window by window.
+4. What is to go returns to its document as ranges of window starts.
+
+Hashes only route: whatever goes has been found equal by an automaton or a suffix array. Texts are
+dealt out by document twice, compressed.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
@@ -27,42 +29,49 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strideway.llm import minimizers as M
 from strideway.llm.common import arrow_map, materialise, raw_bytes, slices, texts
 
-#: Occurrences of a key above which it has no shard; units of a block of the first document.
-HOT = 256
+#: Cuts by a new order of hashes.
 LEVELS = 6
 LAST = 2**63 - 1
 
 
 @dataclass(frozen=True)
 class Units:
-    """What texts are made of. cut: a text's units; whole: bytes of some of them; block: units of a block."""
+    """What texts are made of. block: units of a block of the first document; most: units of a shard that one task compares."""
 
     window: int
     gram: int
     block: int
     words: bool
+    most: int
 
-    def cut(self, text: bytes):
-        return text.split() if self.words else text
+    def edges(self, text: bytes) -> tuple[np.ndarray, np.ndarray] | None:
+        """First byte of every unit, and the byte after; None where units are bytes."""
+        return word_edges(np.frombuffer(text, np.uint8)) if self.words else None
 
-    def whole(self, units) -> bytes:
-        return b" ".join(units) if self.words else units
 
+def between(text: bytes, edges, first: int, last: int) -> bytes:
+    """Units first to last - 1 of a text."""
+    return text[first:last] if edges is None else text[edges[0][first] : edges[1][last - 1]]
 
-def word_hashes(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word, its first byte) in bytes that hold no other text."""
+
+def word_edges(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     blank = (b == 32) | ((b >= 9) & (b <= 13))
     edge = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]]).astype(np.int8)))
-    starts, ends = edge[::2], edge[1::2]
+    return edge[::2], edge[1::2]
+
+
+def word_hashes(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of every word, its first byte, the byte after it) in bytes that hold no other text."""
+    starts, ends = word_edges(b)
     step, back = powers(len(b) + 1)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * step[: len(b)])])
-    return M.mixed((total[ends] - total[starts]) * back[starts] + (ends - starts).astype(np.uint64)), starts
+    return M.mixed((total[ends] - total[starts]) * back[starts] + (ends - starts).astype(np.uint64)), starts, ends
 
 
 _POWERS: list = [np.empty(0, np.uint64)] * 2
@@ -88,7 +97,7 @@ def _pieces(b: pa.RecordBatch, u: Units):
         elif u.words:
             # A blank between texts keeps their words apart.
             joined = np.insert(data, off[1:], 32)
-            h, starts = word_hashes(joined)
+            h, starts, _ = word_hashes(joined)
             bounds = starts.searchsorted(off + np.arange(len(off)))
             yield part, M.doubled(h, u.gram), bounds, np.zeros(part.num_rows, np.int64)
         else:
@@ -160,162 +169,159 @@ def unpacked(z: bytes) -> bytes:
 
 
 def _passages(u: Units):
-    """Runs of a document's candidate segments that go to one shard, and each hot segment by itself."""
+    """Runs of a document's segments that go to one shard."""
 
     def run(batches):
         for b in slices(batches, "size", 2 << 20):
-            out: list[tuple] = []
-            size = 0
-            for doc, tag, z, _, found in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                units = u.cut(unpacked(z))
-                found.sort(key=lambda s: s["start"])
-                at = 0
-                while at < len(found):
-                    s = found[at]
-                    start, end, at = s["start"], s["start"] + s["n"], at + 1
-                    cuts = [0]
-                    while not s["hot"] and at < len(found) and found[at]["start"] == end and found[at]["shard"] == s["shard"] and not found[at]["hot"]:
-                        cuts.append(end - start)
-                        end, at = end + found[at]["n"], at + 1
-                    body = u.whole(units[start : end + u.window - 1])
-                    out.append((s["hot"], s["shard"], doc, tag, start, end - start, cuts, body))
-                    size += len(body)
-                    if size > 4 << 20:
-                        yield rows(out)
-                        out, size = [], 0
-            if out:
-                yield rows(out)
-
-    kinds = [pa.bool_(), *[pa.int64()] * 5, pa.list_(pa.int64()), pa.binary()]
-    names = ["hot", "shard", "doc", "tag", "start", "n", "cuts", "body"]
-
-    def rows(out):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+            segs, parts = b.column(4).flatten(), np.diff(b.column(4).offsets.to_numpy())
+            row = np.repeat(np.arange(b.num_rows), parts)
+            start, n, shard, total = (segs.field(i).to_numpy() for i in range(4))
+            order = np.lexsort((start, row))
+            row, start, n, shard, total = (x[order] for x in (row, start, n, shard, total))
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (start[1:] != start[:-1] + n[:-1]) | (shard[1:] != shard[:-1])
+            first = np.flatnonzero(new)
+            past = np.append(first[1:], len(row))
+            runs = list(zip(row[first].tolist(), start[first].tolist(), (start[past - 1] + n[past - 1]).tolist(), strict=True))
+            bodies, at = [], -1
+            for r, a, z in runs:
+                if r != at:
+                    at, text = r, unpacked(b.column(2)[r].as_py())
+                    edges = u.edges(text)
+                bodies.append(between(text, edges, a, z + u.window - 1))
+            take = pa.array(row[first])
+            cuts = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)).astype(np.int32)), pa.array(start - np.repeat(start[first], past - first)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(shard[first]), pa.array(total[first]), b.column(0).take(take), b.column(1).take(take), pa.array(start[first]), pa.array([z - a for _, a, z in runs], pa.int64()), cuts, pa.array(bodies, pa.binary())],
+                ["shard", "total", "doc", "tag", "start", "n", "cuts", "body"],
+            )
 
     return run
 
 
-PASSAGES = "hot boolean, shard long, doc long, tag long, start long, n long, cuts array<long>, body binary"
-#: What a comparison gets, dealt out by shard and in order within it: cuts are the starts of a passage's segments.
-SHARDED = ["shard", "doc", "tag", "start", "n", "cuts", "body"]
+PASSAGES = "shard long, total long, doc long, tag long, start long, n long, cuts array<long>, body binary"
+#: What a comparison gets, dealt out by shard and part and in order within it: cuts are the starts of a passage's segments; whether the part is the whole shard.
+SHARDED = ["shard", "part", "doc", "tag", "start", "n", "cuts", "whole", "body"]
+#: What a comparison gives: windows of a document that are to go (spans), or a run of windows to hand on (shard, start, n, body).
+FOUND = "doc long, tag long, spans binary, shard long, start long, n long, body binary"
+
+
+def found_batch(gone: list[tuple], on: list[tuple]) -> pa.RecordBatch:
+    """gone: (doc, tag, spans); on: (doc, tag, shard, start, n, body)."""
+    rows = [(d, t, s, None, None, None, None) for d, t, s in gone] + [(d, t, None, *x) for d, t, *x in on]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["doc", "tag", "spans", "shard", "start", "n", "body"])
+
+
+def runs_of(flags: np.ndarray) -> np.ndarray:
+    """Runs of set flags as rows (first, past the last)."""
+    return np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))).reshape(-1, 2)
 
 
 def ranges_of(flags: np.ndarray, start: int = 0) -> bytes:
-    """Runs of set flags as pairs (first, past the last) of little-endian longs."""
-    return (np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))) + start).astype("<i8").tobytes()
+    """runs_of() as little-endian longs."""
+    return (runs_of(flags) + start).astype("<i8").tobytes()
+
+
+def _grams(u: Units, column: pa.Array):
+    """(bytes laid end to end, edges or None, grams, bounds) of bodies."""
+    data, off = raw_bytes(column)
+    if not u.words:
+        return data, None, M.byte_hashes(data, u.gram), off
+    data = np.insert(data, off[1:], 32)
+    h, starts, ends = word_hashes(data)
+    return data, (starts, ends), M.doubled(h, u.gram), starts.searchsorted(off + np.arange(len(off)))
+
+
+CUT_ANEW = "shard long, doc long, tag long, start long, n long, body binary, multi boolean"
+
+
+def _cut_rows(b: pa.RecordBatch, u: Units, data, edges, bounds, at, n, key, multi) -> pa.RecordBatch:
+    """Segments (first unit at, n windows) of a batch (doc, tag, shard, start, n, body); a new shard holds what an old one and a key have in common."""
+    row = bounds.searchsorted(at, "right") - 1
+    raw = data.tobytes()
+    old = b.column(2).to_numpy()[row]
+    shard = M.mixed(old.view(np.uint64) * M.C + key.view(np.uint64)).view(np.int64)
+    bodies = [between(raw, edges, i, i + k + u.window - 1) for i, k in zip(at.tolist(), n.tolist(), strict=True)]
+    take = pa.array(row)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(shard), b.column(0).take(take), b.column(1).take(take), pa.array(b.column(3).to_numpy()[row] + at - bounds[row]), pa.array(n), pa.array(bodies, pa.binary()), pa.array(multi)],
+        ["shard", "doc", "tag", "start", "n", "body", "multi"],
+    )
 
 
 def _recut(u: Units, level: int):
-    """Segments (shard, doc, tag, start, n, body, multi) of passages by another order of hashes; a new shard holds what an old one and a key have in common."""
+    """Segments of passages by another order of hashes."""
     salt = M.mixed(np.asarray([level], np.uint64))[0]
 
     def run(batches):
         for b in slices(batches, "body", 1 << 19):
-            data, off = raw_bytes(b.column(5))
-            if u.words:
-                h, starts = word_hashes(np.insert(data, off[1:], 32))
-                bounds, grams = starts.searchsorted(off + np.arange(len(off))), M.doubled(h, u.gram)
-            else:
-                bounds, grams = off, M.byte_hashes(data, u.gram)
+            data, edges, grams, bounds = _grams(u, b.column(5))
             s = M.segments(M.mixed(grams ^ salt), bounds, u.window, u.gram)
-            row = bounds.searchsorted(s.start, "right") - 1
-            at = s.start - bounds[row]
-            old = b.column(0).to_numpy()[row]
-            shard = M.mixed(old.view(np.uint64) * M.C + s.key.view(np.uint64)).view(np.int64)
-            bodies = [u.cut(x) for x in b.column(5).to_pylist()]
-            pieces = [u.whole(bodies[r][i : i + n + u.window - 1]) for r, i, n in zip(row.tolist(), at.tolist(), s.n.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(shard), b.column(1).take(pa.array(row)), b.column(2).take(pa.array(row)), pa.array(b.column(3).to_numpy()[row] + at), pa.array(s.n), pa.array(pieces, pa.binary()), pa.array(s.multi)],
-                ["shard", "doc", "tag", "start", "n", "body", "multi"],
-            )
+            yield _cut_rows(b, u, data, edges, bounds, s.start, s.n, s.key, s.multi)
 
     return run
 
 
 def _windows(u: Units):
-    """A digest of each window of passages."""
+    """Every window of passages by itself."""
+    offs = [*range(0, u.window - u.gram, u.gram), u.window - u.gram]
 
     def run(batches):
-        for b in slices(batches, "body", 1 << 16):
-            row, off, digest = [], [], []
-            for i, (n, body) in enumerate(zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)):
-                units = u.cut(body)
-                row += [i] * n
-                off += range(n)
-                digest += [hashlib.blake2b(u.whole(units[k : k + u.window]), digest_size=16).digest() for k in range(n)]
-            take = pa.array(row, pa.int64())
-            at = b.column(2).to_numpy()[np.asarray(row, np.int64)] + np.asarray(off, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(at), pa.array(digest, pa.binary())], ["doc", "tag", "start", "digest"])
+        for b in slices(batches, "body", 1 << 15):
+            data, edges, grams, bounds = _grams(u, b.column(5))
+            count = b.column(4).to_numpy()
+            at = np.repeat(bounds[:-1] - np.cumsum(count) + count, count) + np.arange(count.sum())
+            key = np.zeros(len(at), np.uint64)
+            for o in offs:
+                key = M.mixed(key * M.C + grams[at + o])
+            yield _cut_rows(b, u, data, edges, bounds, at, np.ones(len(at), np.int64), key.view(np.int64), np.zeros(len(at), bool))
 
     return run
 
 
-def _full(rows: DataFrame) -> DataFrame:
-    """All windows of rows (doc, tag, start, n) are to go."""
-
-    def run(batches):
-        for b in batches:
-            pairs = np.stack([b.column(2).to_numpy(), b.column(2).to_numpy() + b.column(3).to_numpy()], 1).astype("<i8")
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([p.tobytes() for p in pairs], pa.binary())], ["doc", "tag", "spans"])
-
-    return arrow_map(rows.select("doc", "tag", "start", "n"), run, SPANS)
-
+def _compared(rows: DataFrame, u: Units, compare: Callable) -> DataFrame:
+    """FOUND of rows (shard, total, doc, tag, start, n, cuts, body); total: the shard's units, about."""
+    spark = rows.sparkSession
+    parts = F.ceil(F.col("total") / u.most)
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("doc", "tag"), parts)).withColumn("whole", parts == 1).select(*SHARDED)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions")) * 2
+    return materialise(arrow_map(dealt.repartition(n, "shard", "part").sortWithinPartitions("shard", "part", "doc", "tag", "start"), compare, FOUND), "compared")
 
-SPANS = "doc long, tag long, spans binary"
 
+def sharded(segs: DataFrame, u: Units) -> DataFrame:
+    """(key, shard, total) of the keys that may repeat: total units of the shard, about. segs: CUT."""
+    size = F.col("n") + (u.window - 1)
+    keys = segs.groupBy("key").agg(F.count("*").alias("c"), F.max("multi").alias("m"), F.sum(size).alias("size"), F.min(F.struct("doc", "tag", "start")).alias("first")).filter("c > 1 or m")
+    block = F.xxhash64("first.doc", "first.tag", F.floor(F.col("first.start") / u.block))
+    # A block has no more keys than units.
+    told = keys.withColumn("block", block).withColumn("all", F.sum("size").over(Window.partitionBy("block")))
+    own = F.col("all") > u.most
+    return told.select("key", F.when(own, F.xxhash64("key", "block")).otherwise(F.col("block")).alias("shard"), F.when(own, F.col("size")).otherwise(F.col("all")).alias("total"))
 
-def _matched(rows: DataFrame, compare: Callable) -> DataFrame:
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 2
-    return arrow_map(rows.select(*SHARDED).repartition(n, "shard").sortWithinPartitions("shard", "doc", "tag", "start"), compare, SPANS)
 
-
-def _hot(rows: DataFrame, u: Units, keep_first: bool) -> tuple[list[DataFrame], list[DataFrame]]:
-    """What becomes of segments whose keys are too common for a shard: passages to compare, and ranges (doc, tag, start, n) that go. rows: (shard, doc, tag, start, n, body, multi)."""
-    shards: list[DataFrame] = []
-    ranges: list[DataFrame] = []
-    pos = F.struct("doc", "tag", "start")
-    for level in range(1, LEVELS + 1):
-        rows = rows.withColumn("text_id", F.sha2("body", 256))
-        known = materialise(rows.groupBy("shard", "text_id").agg(F.count("*").alias("copies"), F.min(pos).alias("first"), F.max("multi").alias("m")), "hot-texts")
-        keys = materialise(known.groupBy("shard").agg(F.count("*").alias("d"), F.sum("copies").alias("c"), F.max("m").alias("km")).filter("c > 1 or km"), "hot-keys")
-        told = materialise(known.join(keys, "shard").select(F.col("text_id").alias("id"), F.col("shard").alias("s"), "copies", "first", "d"), "hot-known")
-        met = rows.join(told, (F.col("text_id") == F.col("id")) & (F.col("shard") == F.col("s")))
-        met = materialise(met.select("shard", "doc", "tag", "start", "n", "body", "copies", "d", (pos == F.col("first")).alias("own")), "hot-met")
-        gone = met.filter("copies > 1 and not own") if keep_first else met.filter("copies > 1")
-        ranges.append(gone.select("doc", "tag", "start", "n"))
-        own = met.filter("own")
-        shards.append(own.filter(F.col("d") <= HOT).withColumn("cuts", F.array(F.lit(0).cast("long"))).select(*SHARDED))
-        left = own.filter(F.col("d") > HOT).select("shard", "doc", "tag", "start", "n", "body")
-        if left.isEmpty():
-            return shards, ranges
-        if level < LEVELS:
-            rows = materialise(arrow_map(left, _recut(u, level), "shard long, doc long, tag long, start long, n long, body binary, multi boolean"), "hot-recut")
-    windows = materialise(arrow_map(left.select("doc", "tag", "start", "n", "body"), _windows(u), "doc long, tag long, start long, digest binary"), "hot-windows")
-    every = materialise(windows.groupBy("digest").agg(F.count("*").alias("all"), F.min(pos).alias("low")).filter("`all` > 1"), "hot-repeated")
-    again = windows.join(every, "digest")
-    again = again.filter(pos != F.col("low")) if keep_first else again
-    ranges.append(again.select("doc", "tag", "start", F.lit(1).cast("long").alias("n")))
-    return shards, ranges
-
-
-def repeated(rows: DataFrame, u: Units, compare: Callable, keep_first: bool) -> DataFrame:
-    """(doc, tag, spans): ranges of the starts of windows that are to go. rows: numbered(). compare: from an iterator of a shard's passages in order, rows of (doc, tag, spans); keep_first: whether the first of equal windows stays."""
+def repeated(rows: DataFrame, u: Units, compare: Callable) -> DataFrame:
+    """(doc, tag, spans): ranges of the starts of windows that are to go. rows: numbered(). compare: from an iterator of SHARDED batches to FOUND ones."""
     segs = materialise(arrow_map(rows, _segments(u), CUT), "segments")
-    keys = segs.groupBy("key").agg(F.count("*").alias("c"), F.max("multi").alias("m"), F.min("doc").alias("d0"), F.min("start").alias("s0")).filter("c > 1 or m")
-    shard = F.xxhash64("d0", F.floor(F.col("s0") / u.block))
     # Written down, so that the join has an exchange on both sides and a common key's part can be split.
-    known = materialise(keys.select("key", (F.col("c") > HOT).alias("hot"), F.when(F.col("c") > HOT, F.col("key")).otherwise(shard).alias("shard")), "keys")
-    found = segs.join(known, "key").select("doc", "tag", F.struct("start", "n", "hot", "shard").alias("s"))
+    known = materialise(sharded(segs, u), "keys")
+    found = segs.join(known, "key").select("doc", "tag", F.struct("start", "n", "shard", "total").alias("s"))
     by_doc = found.groupBy("doc", "tag").agg(F.collect_list("s").alias("segs"))  # no more than a document's own
     with_text = packed(rows).join(by_doc, ["doc", "tag"]).select("doc", "tag", "z", "size", "segs")
     passages = materialise(arrow_map(with_text, _passages(u), PASSAGES), "passages")
-    # A hot key's segments are compared whatever their number inside, so multi is as good as set.
-    hot = passages.filter("hot").select("shard", "doc", "tag", "start", "n", "body", F.lit(True).alias("multi"))
-    shards, ranges = _hot(hot, u, keep_first)
-    # One exchange and one pass for all that is compared.
-    matched = _matched(reduce(DataFrame.unionByName, shards, passages.filter("not hot").select(*SHARDED)), compare)
-    both = matched.unionByName(_full(reduce(DataFrame.unionByName, ranges)))
-    return materialise(both.groupBy("doc", "tag").agg(F.collect_list("spans").alias("spans")), "spans")
+    out = [_compared(passages, u, compare)]
+    for level in range(1, LEVELS + 2):
+        left = out[-1].filter("body is not null").select("doc", "tag", "shard", "start", "n", "body")
+        if left.isEmpty():
+            break
+        cut = materialise(arrow_map(left, _recut(u, level) if level <= LEVELS else _windows(u), CUT_ANEW), "cut-anew")
+        size = F.col("n") + (u.window - 1)
+        sizes = materialise(cut.groupBy("shard").agg(F.count("*").alias("c"), F.max("multi").alias("m"), F.sum(size).alias("total")).filter("c > 1 or m").select("shard", "total"), "sizes")
+        # Of equal windows, which are all that a last shard has, a comparison holds one or two, whatever their number.
+        total = F.col("total") if level <= LEVELS else F.lit(1)
+        out.append(_compared(cut.join(sizes, "shard").withColumn("cuts", F.array(F.lit(0).cast("long"))).withColumn("total", total), u, compare))
+    spans = reduce(DataFrame.unionByName, [x.filter("spans is not null").select("doc", "tag", "spans") for x in out])
+    return materialise(spans.groupBy("doc", "tag").agg(F.collect_list("spans").alias("spans")), "spans")
 
 
 def covered(spans: list[bytes] | None, n: int, window: int) -> np.ndarray:
@@ -329,6 +335,19 @@ def covered(spans: list[bytes] | None, n: int, window: int) -> np.ndarray:
     return steps[:n].cumsum() > 0
 
 
+def remaining(text: bytes, edges, gone: np.ndarray) -> bytes:
+    """What is left of a text; words are joined by a blank."""
+    data = np.frombuffer(text + b" ", np.uint8).copy()
+    if edges is None:
+        return data[:-1][~gone].tobytes() if gone.any() else text
+    starts, ends = edges[0][~gone], edges[1][~gone]
+    data[ends] = 32  # a word goes with the byte after it
+    step = np.zeros(len(data) + 1, np.int8)
+    step[starts] = 1
+    step[ends + 1] -= 1
+    return data[step[:-1].cumsum(dtype=np.int8) > 0][:-1].tobytes()
+
+
 def removed(rows: DataFrame, spans: DataFrame, u: Units) -> DataFrame:
     """(doc, n_units, n_removed, n_spans, kept) of every row."""
     joined = packed(rows).join(spans, ["doc", "tag"], "left").select("doc", "z", "size", "spans")
@@ -336,17 +355,14 @@ def removed(rows: DataFrame, spans: DataFrame, u: Units) -> DataFrame:
     def run(batches):
         for b in slices(batches, "size", 2 << 20):
             n_units, n_removed, n_spans, kept = [], [], [], []
-            for z, found in zip(b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True):
-                text = unpacked(z)
-                units = u.cut(text)
-                gone = covered(found, len(units), u.window)
-                n_units.append(len(units))
+            for row in range(b.num_rows):
+                text, found = unpacked(b.column(1)[row].as_py()), b.column(3)[row].as_py()
+                edges = u.edges(text)
+                gone = covered(found, len(text) if edges is None else len(edges[0]), u.window)
+                n_units.append(len(gone))
                 n_removed.append(int(gone.sum()))
-                n_spans.append(int((gone[1:] & ~gone[:-1]).sum() + gone[:1].sum()))
-                if u.words:
-                    kept.append(b" ".join([w for w, g in zip(units, gone.tolist(), strict=True) if not g] if n_removed[-1] else units))
-                else:
-                    kept.append(np.frombuffer(text, np.uint8)[~gone].tobytes() if n_removed[-1] else text)
+                n_spans.append(len(runs_of(gone)))
+                kept.append(remaining(text, edges, gone))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_units, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary())], ["doc", "n_units", "n_removed", "n_spans", "kept"])
 
     out = arrow_map(joined, run, "doc long, n_units long, n_removed long, n_spans long, kept binary")

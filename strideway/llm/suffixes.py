@@ -15,14 +15,19 @@ gives no rows; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from strideway.llm.repeats import Units, numbered, ranges_of, removed, repeated
+from strideway.llm.common import slices
+from strideway.llm.repeats import Units, found_batch, numbered, ranges_of, removed, repeated, runs_of
 
-#: Different windows that are sorted together, about; shards are never split.
+#: Windows that are sorted together, about.
 TOGETHER = 1 << 17
+#: Bytes of a shard.
+MOST = 1 << 19
 
 
 def _words_at(t: np.ndarray) -> np.ndarray:
@@ -148,8 +153,8 @@ def common_prefixes(t: np.ndarray, sa: np.ndarray, window: int) -> np.ndarray:
     return out
 
 
-def repeated_windows(passages: list[bytes], counts: list[int], window: int) -> list[np.ndarray]:
-    """For each passage, which of its first `count` windows occur more than once among all passages."""
+def repeated_windows(passages: list[bytes], counts: list[int], window: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each passage, which of its first `count` windows occur more than once among all passages, and which are the first of their kind."""
     sizes = np.asarray([len(p) for p in passages])
     t = np.frombuffer(b"".join(passages) + b"\x00" + b"\xff" * (2 * window + 8), np.uint8)
     wanted = np.zeros(len(t), bool)
@@ -158,65 +163,78 @@ def repeated_windows(passages: list[bytes], counts: list[int], window: int) -> l
         wanted[s : s + n] = True
     sa = suffix_array(t, wanted, window)
     same = common_prefixes(t, sa, window) >= window
-    out = np.zeros(len(t), bool)
-    out[sa[1:][same]] = True
-    out[sa[:-1][same]] = True
-    return [out[s : s + n] for s, n in zip(starts.tolist(), counts, strict=True)]
+    again, first = np.zeros(len(t), bool), np.zeros(len(t), bool)
+    again[sa[1:][same]] = True
+    again[sa[:-1][same]] = True
+    if len(sa):
+        first[np.minimum.reduceat(sa, np.flatnonzero(np.concatenate([[True], ~same])))] = True
+    return [(again[s : s + n], first[s : s + n]) for s, n in zip(starts.tolist(), counts, strict=True)]
+
+
+class _Held:
+    """Passages to be sorted together. Of segments that are the same bytes two are laid down: a third can't change what repeats."""
+
+    def __init__(self, window: int):
+        self.window = window
+        self.rows: list[tuple] = []  # shard, doc, tag, start, body to hand on from or None, segments: (number, whether it is the one laid first)
+        self.known: dict[bytes, int] = {}
+        self.counts: list[int] = []
+        self.copies: list[int] = []
+        self.size = self.bytes = 0
+
+    def add(self, shard, doc, tag, start, n, cuts, whole, body) -> None:
+        parts = []
+        for first, last in zip(cuts, [*cuts[1:], n], strict=True):
+            piece = body[first : last + self.window - 1]
+            k = self.known.setdefault(piece, len(self.counts))
+            if k == len(self.counts):
+                self.counts.append(last - first)
+                self.copies.append(0)
+            self.copies[k] += 1
+            if self.copies[k] <= 2:
+                self.size += last - first
+            parts.append((k, self.copies[k] == 1))
+        self.rows.append((shard, doc, tag, start, None if whole else body, parts))
+        self.bytes += len(body)
+
+    def told(self) -> Iterator[pa.RecordBatch]:
+        twice = [k for k, c in enumerate(self.copies) if c > 1]
+        pieces = list(self.known)
+        found = repeated_windows(pieces + [pieces[k] for k in twice], self.counts + [self.counts[k] for k in twice], self.window)
+        gone, on = [], []
+        for shard, doc, tag, start, body, parts in self.rows:
+            again = np.concatenate([found[k][0] for k, _ in parts])
+            if again.any():
+                gone.append((doc, tag, ranges_of(again, start)))
+            if body is not None:
+                first = np.concatenate([found[k][1] if own else np.zeros(self.counts[k], bool) for k, own in parts])
+                on += [(doc, tag, shard, start + a, z - a, body[a : z + self.window - 1]) for a, z in runs_of(first).tolist()]
+        if gone or on:
+            yield found_batch(gone, on)
 
 
 def _compare(window: int):
-    """Shards of passages -> which of their windows occur more than once. Segments with the same bytes, as copies have them, are sorted once; they repeat as a whole."""
-
-    def run(batches):
-        held: list[tuple] = []  # doc, tag, start, numbers of its segments
-        known: dict[bytes, int] = {}
-        counts: list[int] = []
-        copies: list[int] = []
-        size = 0
-
-        def told():
-            found = repeated_windows(list(known), counts, window)
-            found = [np.ones(len(f), bool) if c > 1 else f for f, c in zip(found, copies, strict=True)]
-            docs, tags, spans = [], [], []
-            for doc, tag, start, parts in held:
-                flags = np.concatenate([found[k] for k in parts])
-                if flags.any():
-                    docs.append(doc)
-                    tags.append(tag)
-                    spans.append(ranges_of(flags, start))
-            if docs:
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(tags, pa.int64()), pa.array(spans, pa.binary())], ["doc", "tag", "spans"])
-
-        shard = None
-        for b in batches:
-            for s, doc, tag, start, n, cuts, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if s != shard and size >= TOGETHER:
-                    yield from told()
-                    for x in (held, known, counts, copies):
-                        x.clear()
-                    size = 0
-                shard = s
-                parts = []
-                for first, last in zip(cuts, [*cuts[1:], n], strict=True):
-                    piece = body[first : last + window - 1]
-                    k = known.setdefault(piece, len(counts))
-                    if k == len(counts):
-                        counts.append(last - first)
-                        copies.append(0)
-                        size += last - first
-                    copies[k] += 1
-                    parts.append(k)
-                held.append((doc, tag, start, parts))
-        if held:
-            yield from told()
+    """Shards of passages -> which of their windows occur more than once; of a part of a shard also the first of each kind, to be handed on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, shard = _Held(window), None
+        for b in slices(batches, "body", 1 << 20):
+            for s, part, doc, tag, start, n, cuts, whole, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (s, part) != shard and (held.size >= TOGETHER or held.bytes >= 16 * TOGETHER):
+                    yield from held.told()
+                    held = _Held(window)
+                shard = (s, part)
+                held.add(s, doc, tag, start, n, cuts, whole, body)
+        if held.rows:
+            yield from held.told()
 
     return run
 
 
-def remove_repeated(docs: DataFrame, least: int = 200, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, n_units, n_removed, n_spans, kept): texts without the bytes covered by a string of `least` bytes that also starts anywhere else; least is 64 or more."""
+def remove_repeated(docs: DataFrame, least: int = 200, key: str = "doc_id", text: str = "text", most: int = MOST) -> DataFrame:
+    """(doc, n_units, n_removed, n_spans, kept): texts without the bytes covered by a string of `least` bytes that also starts anywhere else; least is 64 or more. most: bytes of a shard."""
     if least < 64:
         raise ValueError("strings of 64 bytes or more")
-    u = Units(window=least, gram=32, block=4096, words=False)
+    u = Units(window=least, gram=32, block=4096, words=False, most=most)
     rows = numbered(docs, key, text)
-    return removed(rows, repeated(rows, u, _compare(least), keep_first=False), u)
+    return removed(rows, repeated(rows, u, _compare(least)), u)

@@ -5,6 +5,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from strideway.llm import automaton, repeats, suffixes
 from strideway.llm import minimizers as M
@@ -69,25 +70,58 @@ def corpus(seed):
     return rows
 
 
-def run(spark, rows, op, least, columns):
+def run(spark, rows, op, least, columns, **kw):
     df = spark.createDataFrame([(d, t, "", "", "", 1) for d, t in rows], SCHEMA).coalesce(1)
-    return sorted(((r.doc, *(r[c] for c in columns), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in op(df, least).collect()), key=str)
+    return sorted(((r.doc, *(r[c] for c in columns), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in op(df, least, **kw).collect()), key=str)
 
 
-@pytest.mark.parametrize("hot", [repeats.HOT, 3, 1])
-def test_words(spark, monkeypatch, hot):
-    monkeypatch.setattr(repeats, "HOT", hot)
+@pytest.mark.parametrize(("most", "levels"), [(automaton.MOST, 6), (1000, 6), (100, 1), (30, 0)])
+def test_words(spark, monkeypatch, most, levels):
+    monkeypatch.setattr(repeats, "LEVELS", levels)
     rows = corpus(1)
-    assert run(spark, rows, automaton.remove_repeated, 20, ["n_units", "n_removed"]) == plain_words(rows, 20)
-    assert run(spark, rows, automaton.remove_repeated, 5, ["n_units", "n_removed"]) == plain_words(rows, 5)
+    assert run(spark, rows, automaton.remove_repeated, 20, ["n_units", "n_removed"], most=most) == plain_words(rows, 20)
+    if levels != 6 or most > 1000:
+        assert run(spark, rows, automaton.remove_repeated, 5, ["n_units", "n_removed"], most=most) == plain_words(rows, 5)
 
 
-@pytest.mark.parametrize("hot", [repeats.HOT, 3, 1])
-def test_bytes(spark, monkeypatch, hot):
-    monkeypatch.setattr(repeats, "HOT", hot)
+@pytest.mark.parametrize(("most", "levels"), [(suffixes.MOST, 6), (10_000, 6), (1000, 1), (300, 0)])
+def test_bytes(spark, monkeypatch, most, levels):
+    monkeypatch.setattr(repeats, "LEVELS", levels)
     rows = corpus(2)
-    assert run(spark, rows, suffixes.remove_repeated, 200, ["n_units", "n_removed", "n_spans"]) == plain_bytes(rows, 200)
-    assert run(spark, rows, suffixes.remove_repeated, 75, ["n_units", "n_removed", "n_spans"]) == plain_bytes(rows, 75)
+    assert run(spark, rows, suffixes.remove_repeated, 200, ["n_units", "n_removed", "n_spans"], most=most) == plain_bytes(rows, 200)
+    if levels != 6 or most > 10_000:
+        assert run(spark, rows, suffixes.remove_repeated, 75, ["n_units", "n_removed", "n_spans"], most=most) == plain_bytes(rows, 75)
+
+
+@pytest.mark.parametrize("u", [repeats.Units(20, 8, 512, True, 4096), repeats.Units(200, 32, 4096, False, 32_768)])
+def test_a_document_that_joins_all_others_makes_no_large_shard(spark, sf, u):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if r.text]
+    rows = [(0, "\n".join(t for _, t in rows)), *rows]
+    docs = repeats.numbered(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    segs = spark.createDataFrame(repeats.arrow_map(docs, repeats._segments(u), repeats.CUT).toPandas())
+    keys = repeats.sharded(segs, u)
+    held = segs.join(keys, "key").groupBy("shard").agg(F.sum(F.col("n") + u.window - 1).alias("size"), F.countDistinct("key").alias("keys"), F.max("total").alias("total"))
+    all_units = segs.agg(F.sum(F.col("n") + u.window - 1)).first()[0]
+    got = held.collect()
+    # What is over a shard's limit is a single key, whose total says into how many parts it goes.
+    assert all(r["size"] == r.total for r in got) and all(r["keys"] == 1 for r in got if r["size"] > u.most)
+    assert max(r["size"] for r in got) < 0.05 * all_units
+
+
+def test_a_part_hands_on_one_of_each_window():
+    body = b" ".join(b"w%d" % i for i in range(40))
+    other = b"x " + b" ".join(body.split()[:20])
+    names = ["shard", "part", "doc", "tag", "start", "n", "cuts", "whole", "body"]
+    for whole in (True, False):
+        rows = [(1, 0, d, 0, 0, len(t.split()) - 19, [0], whole, t) for d, t in enumerate([body, body, other])]
+        got = [r for x in automaton._compare(20)(iter([pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], pa.schema([*((n, pa.int64()) for n in names[:6]), ("cuts", pa.list_(pa.int64())), ("whole", pa.bool_()), ("body", pa.binary())]))])) for r in x.to_pylist()]
+        assert [(r["doc"], np.frombuffer(r["spans"], "<i8").tolist()) for r in got if r["spans"] is not None] == [(1, [0, 21]), (2, [1, 2])]
+        assert [(r["doc"], r["start"], r["n"], r["body"]) for r in got if r["body"] is not None] == ([] if whole else [(0, 0, 21, body), (2, 0, 1, b" ".join(other.split()[:20]))])
+        rows = [(1, 0, d, 0, 5, len(t) - 49, [0, 7], whole, t) for d, t in enumerate([body, body, other])]
+        got = [r for x in suffixes._compare(50)(iter([pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], pa.schema([*((n, pa.int64()) for n in names[:6]), ("cuts", pa.list_(pa.int64())), ("whole", pa.bool_()), ("body", pa.binary())]))])) for r in x.to_pylist()]
+        m = len(body) - 49
+        assert [(r["doc"], np.frombuffer(r["spans"], "<i8").tolist()) for r in got if r["spans"] is not None] == [(0, [5, 5 + m]), (1, [5, 5 + m]), (2, [7, 7 + len(other) - 51])]
+        assert [(r["doc"], r["start"], r["n"]) for r in got if r["body"] is not None] == ([] if whole else [(0, 5, m), (2, 5, 2)])
 
 
 def test_repeated_and_null_keys(spark):
@@ -113,9 +147,10 @@ def test_known_reference(spark):
 def test_long_texts_come_in_parts(monkeypatch):
     monkeypatch.setattr(M, "PIECE", 4096)
     rnd = random.Random(4)
-    for u in (repeats.Units(20, 8, 512, True), repeats.Units(200, 32, 4096, False)):
+    for u in (repeats.Units(20, 8, 512, True, 1), repeats.Units(200, 32, 4096, False, 1)):
         text = " ".join(rnd.choice(["alpha", "b", "cc", "é"]) for _ in range(9000))
-        n = len(u.cut(text.encode())) - u.window + 1
+        units = text.split() if u.words else text.encode()
+        n = len(units) - u.window + 1
         b = pa.RecordBatch.from_arrays([pa.array([text])], ["text"])
         seen = np.zeros(n, int)
         keys = {}
@@ -124,7 +159,7 @@ def test_long_texts_come_in_parts(monkeypatch):
             for start, m, key in zip(s.start + first[0], s.n, s.key):
                 seen[start : start + m] += 1
                 for k in range(start, start + m):
-                    keys.setdefault(u.whole(u.cut(text.encode())[k : k + u.window]) if not u.words else k, set()).add(int(key))
+                    keys.setdefault(tuple(units[k : k + u.window]), set()).add(int(key))
         assert (seen == 1).all()
         assert all(len(k) == 1 for k in keys.values())
 
