@@ -9,7 +9,7 @@ HEADLINE = "steps_daily steps_summary steps_summary_adjusted percentile_times_da
 
 
 def main() -> None:
-    from strideway.plans.queries import QUERIES
+    from strideway.plans.catalogue import QUERIES
     from strideway.session import build
 
     sf, cpus = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "8")

@@ -8,9 +8,10 @@ python -m strideway.cli commands DIR -d DIR
 from __future__ import annotations
 
 import argparse
-import math
+from functools import reduce
 from pathlib import Path
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strideway.functions.scalar import resolve_path
@@ -29,6 +30,10 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("paths", nargs="+")
     a.add_argument("-o", "--outdir", default="outputs/")
     a.add_argument("-m", "--model", help="folder of a trained model; a threshold detector otherwise")
+    a.add_argument("--model-md5", help="digest that the model's model.json must have")
+    a.add_argument("-t", "--model-type", choices=["rf", "ssl"], default="rf")
+    a.add_argument("-d", "--pytorch-device", default="cpu", help="for networks only")
+    a.add_argument("--force-download", action="store_true")
     a.add_argument("-r", "--sample-rate", type=float)
     a.add_argument("--csv-txyz", default="time,x,y,z")
     a.add_argument("--csv-txyz-idxs")
@@ -61,41 +66,55 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def counter_of(args, rate: int) -> StepModel:
+    if args.model:
+        return StepModel.load(args.model, args.model_md5)
+    return StepModel(window_sec=10, sample_rate=rate, steptol=4, distance=0.3, prominence=0.25)
+
+
 def process(spark, args) -> None:
-    """Every table of every recording; a recording without worn time has its wear statistics alone."""
+    """Every table of every recording, all by one plan (one for each sample rate, if they differ); a recording without worn time has its wear statistics alone."""
+    if args.force_download or args.model_type == "ssl":
+        raise SystemExit("models aren't downloaded and the pretrained network isn't part of this package: give a folder by --model")
     options = readers.CsvOptions(args.csv_txyz, args.csv_txyz_idxs, args.csv_start_row, args.csv_end_row, args.csv_time_format)
-    for path in args.paths:
-        prep = lambda df: prepare.prepared(df, args.sample_rate, args.start_first_complete_minute, args.calibration_stdtol_min)
-        samples = readers.read_recording(spark, path, options, args.start, args.end, prep)
-        if args.exclude_wear_below:
-            samples = clean.blank_days_below(samples, args.exclude_wear_below, clean.XYZ)
-        if args.exclude_first_last:
-            samples = clean.drop_first_last_days(samples, args.exclude_first_last)
-        samples = written(samples, "samples")
-        _, name, _ = resolve_path(path)
-        base = f"{args.outdir.rstrip('/')}/{name}/{name}"
-        if samples.filter(clean.worn(clean.XYZ)).isEmpty():
-            row = clean.wear_stats(samples, clean.XYZ).first()
-            info = (row.asDict() if row else {}) | {"Filename": path}
-            sinks.write_info(info, f"{base}-Info.json")
+    prep = lambda df: prepare.prepared(df, args.sample_rate, args.start_first_complete_minute, args.calibration_stdtol_min)
+    every = [readers.read_recording(spark, p, options, args.start, args.end, prep).withColumn("recording", F.lit(p)) for p in args.paths]
+    samples = reduce(DataFrame.unionByName, every)
+    if args.exclude_wear_below:
+        samples = clean.blank_days_below(samples, args.exclude_wear_below, clean.XYZ)
+    if args.exclude_first_last:
+        samples = clean.drop_first_last_days(samples, args.exclude_first_last)
+    samples = written(samples, "samples")
+    base = {p: f"{args.outdir.rstrip('/')}/{resolve_path(p)[1]}/{resolve_path(p)[1]}" for p in args.paths}
+    # A row for each recording.
+    wear = {r.recording: r.asDict() for r in clean.wear_stats(samples, clean.XYZ).collect()}
+    worn = {r[0] for r in samples.filter(clean.worn(clean.XYZ)).select("recording").distinct().collect()}
+    for p in args.paths:
+        if p not in worn:
+            info = {k: v for k, v in wear.get(p, {}).items() if k != "recording"} | {"Filename": p}
+            sinks.write_info(info, f"{base[p]}-Info.json", spark)
             print(sinks.console(info))
-            continue
-        if args.model:
-            counter = StepModel.load(args.model)
-        else:
-            dt = infer_period(samples).first().dt
-            counter = StepModel(window_sec=10, sample_rate=round(1 / dt), steptol=4, distance=0.3, prominence=0.25)
-        predicted = written(counter.predict_samples(samples), "predicted")
-        enough = {"minute": args.min_wear_per_minute, "hour": args.min_wear_per_hour, "day": args.min_wear_per_day}
-        out = tables(predicted.select("recording", "time", "Steps"), samples, counter.window_sec, counter.steptol, args.min_walk_per_day, enough, args.bouts_min_walk, args.bouts_max_idle)
-        info = out["Info"].first().asDict() | {"Filename": path}
-        sinks.write_info({k: math.nan if v is None else v for k, v in info.items()}, f"{base}-Info.json")
-        for kind, df in out.items():
-            if kind != "Info":
-                order = next((c for c in ("Time", "Date", "time", "StartTime") if c in df.columns), None)
-                df = df.drop("recording") if kind == "Steps" else df.withColumn("Filename", F.lit(path))
-                sinks.write_one(df.orderBy(order) if order else df, f"{base}-{kind}.csv.gz")
-        sinks.write_one(counter.step_times(predicted).drop("recording").orderBy("time"), f"{base}-StepTimes.csv.gz")
+    by_rate: dict[int, list[str]] = {}
+    for r in infer_period(samples.filter(F.col("recording").isin(list(worn)))).collect() if worn else []:
+        by_rate.setdefault(0 if args.model else round(1 / r.dt), []).append(r.recording)
+    for rate, names in sorted(by_rate.items()):
+        _report(spark, args, samples.filter(F.col("recording").isin(names)), counter_of(args, rate), names, base)
+
+
+def _report(spark, args, samples, counter: StepModel, names: list[str], base: dict[str, str]) -> None:
+    predicted = written(counter.predict_samples(samples), "predicted")
+    enough = {"minute": args.min_wear_per_minute, "hour": args.min_wear_per_hour, "day": args.min_wear_per_day}
+    out = tables(predicted.select("recording", "time", "Steps"), samples, counter.window_sec, counter.steptol, args.min_walk_per_day, enough, args.bouts_min_walk, args.bouts_max_idle)
+    out = {k: written(df.withColumnRenamed("Filename", "recording"), k) for k, df in out.items()}
+    out["StepTimes"] = written(counter.step_times(predicted), "StepTimes")
+    for path in names:
+        own = {k: df.filter(F.col("recording") == path) for k, df in out.items()}
+        info = {k: v for k, v in own.pop("Info").first().asDict().items() if k != "recording"} | {"Filename": path}
+        sinks.write_info(info, f"{base[path]}-Info.json", spark)
+        for kind, df in own.items():
+            order = next((c for c in ("Time", "Date", "time", "StartTime") if c in df.columns), None)
+            plain = df.drop("recording") if kind in ("Steps", "StepTimes") else df.withColumnRenamed("recording", "Filename")
+            sinks.write_one(plain.orderBy(order) if order else plain, f"{base[path]}-{kind}.csv.gz")
         if not args.quiet:
             print(sinks.console(info))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -94,6 +96,17 @@ def features_of(x: Column, y: Column, z: Column, rate: int) -> Column:
     return run(x, y, z)
 
 
+def per_window(kernel: Callable[[np.ndarray], dict[str, float]], names: list[str], v: Column) -> Column:
+    """A struct of what a kernel above gives for each array of a column; NULL fields for a missing array or one with a missing value."""
+
+    @F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in names]))
+    def run(part: pd.Series) -> pd.DataFrame:
+        arrays = [None if a is None else np.asarray(a, float) for a in part]
+        return pd.DataFrame([{} if a is None or not len(a) or np.isnan(a).any() else kernel(a) for a in arrays], columns=names).astype(float)
+
+    return run(v)
+
+
 def step_peaks(x: Column, y: Column, z: Column, rate: int, distance: float = 0.5, prominence: float = 0.5, lowpass: float = 5) -> Column:
     """Seconds into the window of every step; NULL where a value is missing. Filters before the call keep windows away that need no steps."""
 

@@ -58,6 +58,13 @@ def resolve_path(path: str) -> tuple[str, str, str]:
     return str(p.parent), p.name.split(suffix)[0], suffix
 
 
+def path_parts(path: Column) -> dict[str, Column]:
+    """resolve_path() of a column of paths that have a folder; all parts but the folder are NULL for a name without a suffix."""
+    name = F.regexp_extract(path, r"[^/]*$", 0)
+    suffix = F.nullif(F.regexp_extract(name, r"^[^.]+(\.[^.]+)", 1), F.lit(""))
+    return {"folder": F.regexp_extract(path, r"^(.*)/[^/]*$", 1), "name": F.when(suffix.isNotNull(), F.substring_index(name, ".", 1)), "extension": suffix}
+
+
 def md5_of(path: str) -> str:
     found = hashlib.md5()
     with open(path, "rb") as f:

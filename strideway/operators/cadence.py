@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from strideway.functions.scalar import whole
 from strideway.operators.grid import KEYS, bin_of, day_type, resample
-from strideway.operators.steps import representative_week, with_dt
+from strideway.operators.impute import impute_days
+from strideway.operators.steps import with_dt
 
 MEASURES = {"peak1": "CadencePeak1(steps/min)", "peak30": "CadencePeak30(steps/min)", "p95": "Cadence95th(steps/min)"}
 
@@ -32,8 +33,8 @@ def cadence_summary(daily: DataFrame, adjust: bool = False, keys: list[str] = KE
     if not adjust:
         rows = daily.select(*keys, *MEASURES, F.explode(day_type("time")).alias("daytype"))
     else:
-        weeks = [representative_week(daily, m, "median", keys) for m in MEASURES]
-        week = weeks[0].join(weeks[1], [*keys, "weekday"]).join(weeks[2], [*keys, "weekday"])
+        filled = impute_days(daily, list(MEASURES), "median", keys)
+        week = filled.groupBy(*keys, F.weekday("time").alias("weekday")).agg(*[F.median(m).alias(m) for m in MEASURES])
         kind = F.array(F.lit("overall"), F.when(F.col("weekday") >= 5, "weekend").otherwise("weekday"))
         rows = week.select(*keys, *MEASURES, F.explode(kind).alias("daytype"))
     return rows.groupBy(*keys, "daytype").agg(*[whole(F.median(m)).alias(m) for m in MEASURES])

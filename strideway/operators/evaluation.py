@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strideway.session import written
+
 QUARTILES = (0.0, 0.25, 0.5, 0.75, 1.0)
 
 
@@ -65,12 +69,18 @@ def class_report(df: DataFrame, true: str, predicted: str, weight: Column | None
 def curve(df: DataFrame, score: str, true: str, weight: Column | None = None) -> DataFrame:
     """(thresh, tp, fp, pos, neg, precision, recall, f1, tpr, fpr, balanced_accuracy) for each score, if all rows with it or more are called positive.
 
-    Rows of one score are summed before the running sum, which goes over distinct scores."""
+    Rows of one score are summed, scores dealt out by range; running sums are of a range, plus what the ranges above have in all."""
     w = F.lit(1.0) if weight is None else weight
     by = df.groupBy(F.col(score).alias("thresh")).agg(F.sum(F.when(F.col(true) == 1, w).otherwise(0.0)).alias("a"), F.sum(F.when(F.col(true) == 0, w).otherwise(0.0)).alias("b"))
-    totals = by.agg(F.sum("a").alias("pos"), F.sum("b").alias("neg"))
-    down = Window.orderBy(F.col("thresh").desc())
-    run = by.select("thresh", F.sum("a").over(down).alias("tp"), F.sum("b").over(down).alias("fp")).crossJoin(F.broadcast(totals))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Written down, as a range's number must not change any more.
+    ranged = written(by.repartitionByRange(n, F.col("thresh").desc()).withColumn("_range", F.spark_partition_id()), "scores")
+    above = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy()
+    sums = ranged.groupBy("_range").agg(F.sum("a").alias("_a"), F.sum("b").alias("_b"))  # a row for each of n ranges
+    told = sums.select("_range", *[F.coalesce(F.sum(f"_{x}").over(above), F.lit(0.0)).alias(f"{x}0") for x in "ab"], F.sum("_a").over(every).alias("pos"), F.sum("_b").over(every).alias("neg"))
+    down = Window.partitionBy("_range").orderBy(F.col("thresh").desc())
+    run = ranged.join(F.broadcast(told), "_range").select("thresh", (F.col("a0") + F.sum("a").over(down)).alias("tp"), (F.col("b0") + F.sum("b").over(down)).alias("fp"), "pos", "neg")
     tp, fp = F.col("tp"), F.col("fp")
     precision, recall, fpr = _share(tp, tp + fp), _share(tp, F.col("pos")), _share(fp, F.col("neg"))
     f1 = F.when((precision > 0) & (recall > 0), 2 * precision * recall / (precision + recall)).otherwise(0.0)
@@ -81,19 +91,16 @@ def calibrate(df: DataFrame, score: str, true: str, weight: Column | None = None
     """One row for each goal (balanced_accuracy, f1, precision, recall): the threshold that is best, of equals the first one tried.
 
     Thresholds are tried from the highest for balanced accuracy, else from the lowest; precision and recall take the first above their tolerance, or the first of all."""
-    c = curve(df, score, true, weight)
-    best = lambda goal, value, order: c.agg(F.max_by(F.struct("thresh", "precision", "recall", "f1", "tpr", "fpr", "balanced_accuracy"), F.struct(value.alias("v"), order.alias("o"))).alias("x")).select(F.lit(goal).alias("goal"), "x.*")
     low = -F.col("thresh")
-    goals = [
-        best("balanced_accuracy", F.round("balanced_accuracy", 12), F.col("thresh")),
-        best("f1", F.round("f1", 12), low),
-        best("precision", (F.col("precision") > precision_tol).cast("int"), low),
-        best("recall", (F.col("recall") > recall_tol).cast("int"), low),
-    ]
-    out = goals[0]
-    for g in goals[1:]:
-        out = out.unionByName(g)
-    return out
+    tried = {
+        "balanced_accuracy": (F.round("balanced_accuracy", 12), F.col("thresh")),
+        "f1": (F.round("f1", 12), low),
+        "precision": ((F.col("precision") > precision_tol).cast("int"), low),
+        "recall": ((F.col("recall") > recall_tol).cast("int"), low),
+    }
+    row = F.struct("thresh", "precision", "recall", "f1", "tpr", "fpr", "balanced_accuracy")
+    best = curve(df, score, true, weight).agg(*[F.max_by(row, F.struct(v.alias("v"), o.alias("o"))).alias(goal) for goal, (v, o) in tried.items()])
+    return best.select(F.explode(F.array(*[F.struct(F.lit(g).alias("goal"), F.col(g).alias("x")) for g in tried])).alias("g")).select("g.goal", "g.x.*")
 
 
 def ordered_folds(df: DataFrame, group: str, position: str, n: int = 5) -> DataFrame:
@@ -109,9 +116,12 @@ def ordered_folds(df: DataFrame, group: str, position: str, n: int = 5) -> DataF
 
 
 def held_out(df: DataFrame, group: str, share: float = 0.2, seed: int = 41) -> tuple[DataFrame, DataFrame]:
-    """(train, test): a seeded share of groups is held out, whole groups at a time."""
-    place = F.pmod(F.xxhash64(F.lit(seed), F.col(group).cast("string")), F.lit(1_000_003)) / 1_000_003
-    return df.filter(place >= share), df.filter(place < share)
+    """(train, test): a seeded share of the groups, rounded up, is held out, whole groups at a time; a group without a name is trained on."""
+    groups = df.select(F.col(group).alias("_group")).filter(F.col(group).isNotNull()).distinct()
+    few = groups.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("_group").cast("string"))), "_group").limit(math.ceil(round(groups.count() * share, 9)))
+    few = written(few, "held-out")
+    same = df[group] == few["_group"]
+    return df.join(few, same, "left_anti"), df.join(few, same, "left_semi")
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:

@@ -54,6 +54,7 @@ def walk_minutes(epochs: DataFrame, grain: str, dt: DataFrame | float, steptol:
 
 
 def adjusted(epochs: DataFrame, value: str, dt: DataFrame | float, keys: list[str] = KEYS) -> DataFrame:
+    epochs = written(epochs.select(*keys, "time", value), "epochs")  # used for periods, empty days and the grid
     return impute_missing(epochs, [value], period=period_of(epochs, dt, keys), keys=keys)
 
 
@@ -72,6 +73,7 @@ def representative_week(daily: DataFrame, value: str, method: str = "mean", keys
 
 def over_week(daily: DataFrame, value: str, keys: list[str] = KEYS) -> DataFrame:
     """Like over_days() with averages over the representative week; totals are of the days as they are, without filled ones."""
+    daily = written(daily, "daily")  # a row a day, used twice
     week = representative_week(daily, value, keys=keys)
     kind = F.array(F.lit("overall"), F.when(F.col("weekday") >= 5, "weekend").otherwise("weekday"))
     stats = week.select(*keys, value, F.explode(kind).alias("daytype")).groupBy(*keys, "daytype").agg(F.avg(value).alias("avg"), F.median(value).alias("med"), F.min(value).alias("min"), F.max(value).alias("max"))

@@ -23,6 +23,7 @@ from strideway.operators import evaluation
 from strideway.operators.clean import XYZ
 from strideway.operators.grid import at_micros, fixed_length, micros, windows_from_start
 from strideway.operators.hmm import Smoother
+from strideway.sources.readers import load_checked
 
 WINDOW = ["recording", "window_start"]
 
@@ -269,10 +270,11 @@ class StepModel:
         Path(folder, "model.json").write_text(json.dumps(par, indent=1))
 
     @staticmethod
-    def load(folder: str) -> StepModel:
+    def load(folder: str, md5: str | None = None) -> StepModel:
+        """md5: of model.json; another file raises ValueError."""
         from pyspark.ml.classification import RandomForestClassificationModel
 
-        par = json.loads(Path(folder, "model.json").read_text())
+        par = load_checked(f"{folder}/model.json", md5, lambda path: json.loads(Path(path).read_text()))
         forest, least = par.pop("forest", None), par.pop("least", None)
         out = StepModel(**par)
         if forest:

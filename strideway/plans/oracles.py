@@ -228,9 +228,6 @@ ORACLES = {
     "feature_moments": f"""WITH {VEC}, x AS (SELECT vec_id, unnest(v) AS x FROM e), m AS (SELECT vec_id, avg(x) AS m, stddev_pop(x) AS s FROM x GROUP BY ALL)
         SELECT vec_id, round(m, 4) AS avg, round(s, 4) AS std, round(CASE WHEN s <= 0.01 THEN 0 ELSE avg(pow((x - m) / s, 3)) END, 4) AS skew, round(CASE WHEN s <= 0.01 THEN 0 ELSE avg(pow((x - m) / s, 4)) - 3 END, 4) AS kurt FROM x JOIN m USING (vec_id) GROUP BY vec_id, m, s""",
     "feature_quantiles": f"WITH {VEC}, x AS (SELECT vec_id, unnest(v) AS x FROM e) SELECT vec_id, round(min(x), 6) AS min, round(quantile_cont(x, 0.25), 6) AS q25, round(quantile_cont(x, 0.5), 6) AS med, round(quantile_cont(x, 0.75), 6) AS q75, round(max(x), 6) AS max FROM x GROUP BY vec_id",
-    "feature_acf": f"WITH {VEC}, d AS (SELECT vec_id, list_transform(v, lambda x: x - list_avg(v)) AS d FROM e) SELECT vec_id, "
-    + ", ".join(f"round(list_inner_product(d[{k + 1}:64], d[1:{64 - k}]) / list_inner_product(d, d), 4) AS acf{k}" for k in range(1, 6))
-    + " FROM d",
     "windows_resized": f"""WITH {VEC} SELECT vec_id, 20 AS n, round(v[1], 4) AS first, round(v[24] + (7 * 63 / 19.0::DOUBLE - 23) * (v[25] - v[24]), 4) AS eighth, round(v[64], 4) AS last FROM e""",
     "hmm_transition": """WITH n AS (SELECT role AS a, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations), c AS (SELECT a, b, count(*) AS n FROM n WHERE b IS NOT NULL GROUP BY ALL),
         l AS (SELECT DISTINCT role FROM conversations WHERE role IS NOT NULL), s AS (SELECT a, sum(n) AS t FROM c GROUP BY ALL)
@@ -278,7 +275,6 @@ ORACLES = {
         for k, s in (("overall", ""), ("weekend", "_weekend"), ("weekday", "_weekday"))
     )
     + " FROM a GROUP BY recording",
-    "collate_union": "SELECT n_name AS name, n_nationkey::INTEGER AS key, NULL::VARCHAR AS kind FROM nation UNION ALL SELECT r_name, r_regionkey::INTEGER, 'region' FROM region",
     "labels_encoded": "WITH l AS (SELECT list_sort(list(DISTINCT role)) AS l FROM conversations) SELECT conv_id, turn, role, (list_position(l, role) - 1)::INTEGER AS code, role AS again FROM conversations, l",
     "ordered_distinct": "SELECT source, min(doc_id) AS doc_id FROM documents GROUP BY source",
     "example_windows": """WITH o AS (SELECT event_type AS pid, date_trunc('day', min(ts)) AS o FROM events GROUP BY ALL),

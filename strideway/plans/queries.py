@@ -17,6 +17,7 @@ from strideway.operators import bouts as B
 from strideway.operators import cadence as C
 from strideway.operators import clean, evaluation, grid, hmm, impute, steps
 from strideway.operators import enmo as E
+from strideway.plans.report import full_join, pivoted, step_metrics
 from strideway.plans.training import decoded, encoded, examples, resized, training_windows
 from strideway.session import prepare
 
@@ -287,7 +288,7 @@ def asof_nearest_tolerance(spark, sf):
 def grain_outer_join(spark, sf):
     days = steps.by_grain(epochs(spark, sf), "day", HOUR).filter(F.dayofmonth("time") > 3)
     wear = clean.daily_wear(samples(spark, sf), clean.XYZ, steps.period_of(samples(spark, sf), 60.0)).withColumn("time", F.col("Date").cast("timestamp_ntz")).filter(F.dayofmonth("time") < 20)
-    return days.join(wear, ["recording", "time"], "full").select("recording", text().alias("time"), r("Steps").alias("steps"), F.col("`WearTime(hours)`").alias("wear_hours"))
+    return full_join([days, wear]).select("recording", text().alias("time"), r("Steps").alias("steps"), F.col("`WearTime(hours)`").alias("wear_hours"))
 
 
 @query
@@ -320,29 +321,6 @@ def vectors(spark, sf):
     return read(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
 
 
-@query
-def feature_moments(spark, sf):
-    x = vectors(spark, sf).select("vec_id", F.explode("v").alias("x"))
-    m = x.groupBy("vec_id").agg(F.avg("x").alias("avg"), F.stddev_pop("x").alias("std"), F.skewness("x").alias("skew"), F.kurtosis("x").alias("kurt"))
-    flat = F.col("std") <= 0.01
-    return m.select("vec_id", r("avg").alias("avg"), r("std").alias("std"), r(F.when(flat, 0.0).otherwise(F.col("skew"))).alias("skew"), r(F.when(flat, 0.0).otherwise(F.col("kurt"))).alias("kurt"))
-
-
-@query
-def feature_quantiles(spark, sf):
-    x = vectors(spark, sf).select("vec_id", F.explode("v").alias("x"))
-    q = x.groupBy("vec_id").agg(F.percentile("x", F.array(*[F.lit(p) for p in evaluation.QUARTILES])).alias("q"))
-    return q.select("vec_id", *[r(F.col("q")[i], 6).alias(n) for i, n in enumerate(("min", "q25", "med", "q75", "max"))])
-
-
-@query
-def feature_acf(spark, sf):
-    mean = F.aggregate("v", F.lit(0.0), lambda a, x: a + x) / F.size("v")
-    d = vectors(spark, sf).withColumn("m", mean).select("vec_id", F.transform("v", lambda x: x - F.col("m")).alias("d"))
-    dot = lambda k: F.aggregate(F.zip_with(F.slice("d", 1 + k, 64), F.slice("d", 1, F.size("d") - k), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    return d.select("vec_id", *[r(dot(k) / dot(0)).alias(f"acf{k}") for k in range(1, 6)])
-
-
 @query
 def features_all(spark, sf):
     x = vectors(spark, sf).select("vec_id", F.transform("v", lambda a: a * 4).alias("x"), F.transform("v", lambda a: a * 0).alias("y"), F.transform("v", lambda a: a * 0 + 1).alias("z"))
@@ -457,19 +435,10 @@ def plot_data(spark, sf):
 
 @query
 def info_pivot(spark, sf):
-    from strideway.plans.report import pivoted, step_metrics
-
     out = pivoted(step_metrics(steps.over_days(steps.by_grain(epochs(spark, sf), "day", HOUR), "Steps"), False))
     return out.select("recording", *[F.col(c).alias(c.lower()) for c in sorted(out.columns) if c != "recording"])
 
 
-@query
-def collate_union(spark, sf):
-    a = read(spark, sf, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").cast("int").alias("key"))
-    b = read(spark, sf, "region").select(F.col("r_regionkey").cast("int").alias("key"), F.col("r_name").alias("name"), F.lit("region").alias("kind"))
-    return a.unionByName(b, allowMissingColumns=True)
-
-
 @query
 def labels_encoded(spark, sf):
     """Roles as positions among the labels in order, and back."""

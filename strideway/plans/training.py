@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strideway.operators.clean import XYZ
@@ -30,10 +30,24 @@ def good(first: Column, last: Column, n: Column, values: list[Column], length: i
     return whole & (n == length) & (F.abs(took - seconds) < 0.01 * seconds)
 
 
+def kept(windows: DataFrame, length: int, seconds: float) -> DataFrame:
+    """The windows that are good() to train on. windows: (first, last, n, x, y, z)."""
+    return windows.filter(good(F.col("first"), F.col("last"), F.col("n"), [F.col(a) for a in XYZ], length, seconds))
+
+
+def write_training(windows: DataFrame, path: str) -> None:
+    """Training windows as Parquet, arrays of axes and their labels in one row."""
+    windows.write.mode("overwrite").parquet(path)
+
+
+def read_training_windows(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
 def examples(df: DataFrame, n_walk: int = 10, n_other: int = 5) -> DataFrame:
     """The first windows of each class, as a plot of examples shows them."""
-    place = F.row_number().over(Window.partitionBy("walk").orderBy("pid", "window_start"))
-    return df.withColumn("_i", place).filter(F.col("_i") <= F.when(F.col("walk") == 1, n_walk).otherwise(n_other)).drop("_i")
+    first = lambda class_, n: df.filter(class_).orderBy("pid", "window_start").limit(n)  # noqa: E731  each task keeps n at most
+    return first(F.col("walk") == 1, n_walk).unionByName(first(F.col("walk") != 1, n_other))
 
 
 def encoded(c: Column, labels: list) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -43,16 +44,23 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_top(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, one of our own if all run on this machine, else an error."""
+    sc = spark.sparkContext
+    top = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if top:
+        return top.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if not getattr(sc, "_strideway_shared", None):
+        path = tempfile.mkdtemp(prefix="strideway-shared-")
+        atexit.register(shutil.rmtree, path, True)
+        sc._strideway_shared = f"file://{path}"
+    return sc._strideway_shared
+
+
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """df written to the folder that all executors share and read back: a short plan for what follows, and nothing to compute again when an executor is lost."""
-    spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not top:
-        sc = spark.sparkContext
-        if not getattr(sc, "_strideway_tables", None):
-            sc._strideway_tables = tempfile.mkdtemp(prefix="strideway-tables-")
-            atexit.register(shutil.rmtree, sc._strideway_tables, True)
-        top = f"file://{sc._strideway_tables}"
-    path = f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_top(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

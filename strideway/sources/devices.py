@@ -1,16 +1,18 @@
-"""Device files by the Python data source API: a parser for each format is registered by name.
+"""Device files: a parser for each format is registered by name.
 
 The formats' parsers are not part of this package. A parser is a function from the bytes of a file
 to an iterator of (microseconds since 1970, x, y, z); it runs on the executor that reads the file.
+Files are read by Spark, from whatever store they are in, any number of them at once.
 """
 
 from __future__ import annotations
 
-import datetime
 from collections.abc import Callable, Iterator
+from itertools import islice
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 Parser = Callable[[bytes], Iterator[tuple[int, float, float, float]]]
 _PARSERS: dict[str, Parser] = {}
@@ -20,50 +22,27 @@ def register(extension: str, parser: Parser) -> None:
     _PARSERS[extension.lower()] = parser
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
-
-
-class _Reader(DataSourceReader):
-    def __init__(self, paths: list[str], parser: Parser):
-        self.paths, self.parser = paths, parser
-
-    def partitions(self):
-        return [_File(p) for p in self.paths]
-
-    def read(self, partition):
-        with open(partition.path.removeprefix("file:"), "rb") as f:
-            content = f.read()
-        start = datetime.datetime(1970, 1, 1)
-        for k, (us, x, y, z) in enumerate(self.parser(content)):
-            yield (partition.path, start + datetime.timedelta(microseconds=us), float(x), float(y), float(z), k)
-
-
-def source_for(parser: Parser, paths: list[str]):
-    """A data source class that reads these paths by this parser."""
-
-    class Recordings(DataSource):
-        @classmethod
-        def name(cls):
-            return "recordings"
-
-        def schema(self):
-            return "recording string, time timestamp_ntz, x double, y double, z double, row long"
-
-        def reader(self, schema):
-            return _Reader(paths, parser)
-
-    return Recordings
-
-
-def read_device(spark: SparkSession, path: str, parser: Parser | None = None) -> DataFrame:
-    """(recording, time, x, y, z, row) of a device file; raises NotImplementedError where no parser is registered."""
+def read_device(spark: SparkSession, path: str | list[str], parser: Parser | None = None) -> DataFrame:
+    """(recording, time, x, y, z, row) of device files, by paths or patterns; raises NotImplementedError where no parser is registered."""
     from strideway.sources.readers import kind_of
 
-    kind = kind_of(path)[0]
-    parser = parser or _PARSERS.get(kind)
-    if parser is None:
+    paths = [path] if isinstance(path, str) else path
+    kind = kind_of(paths[0])[0]
+    parse = parser or _PARSERS.get(kind)
+    if parse is None:
         raise NotImplementedError(f"no parser registered for {kind}")
-    spark.dataSource.register(source_for(parser, [path]))
-    return spark.read.format("recordings").load()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                found, row = iter(parse(content)), 0
+                while some := list(islice(found, 20_000)):
+                    us, *axes = zip(*some, strict=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([name] * len(some)), pa.array(us, pa.int64()).cast(pa.timestamp("us")), *(pa.array(a, pa.float64()) for a in axes), pa.array(np.arange(row, row + len(some)))],
+                        ["recording", "time", "x", "y", "z", "row"],
+                    )
+                    row += len(some)
+
+    files = spark.read.format("binaryFile").load(paths).select("path", "content")
+    return files.mapInArrow(run, "recording string, time timestamp_ntz, x double, y double, z double, row long")

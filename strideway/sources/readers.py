@@ -11,6 +11,7 @@ import csv
 import gzip
 import io
 import lzma
+import re
 import warnings
 import zipfile
 from collections.abc import Iterator
@@ -28,6 +29,8 @@ PACKED = (".gz", ".xz", ".lzma", ".bz2", ".zip")
 DEVICES = (".cwa", ".gt3x", ".bin")
 #: Formats that Spark's own CSV reader opens.
 NATIVE = ("", ".gz", ".bz2")
+#: Parts of messages that callers look for.
+FOUR, ORDER = "4 comma-separated integers", "must be >= csv_start_row"
 #: Result files by kind; the first suffix that fits wins.
 KINDS = ("Daily", "DailyAdjusted", "Hourly", "HourlyAdjusted", "Minutely", "MinutelyAdjusted", "Bouts")
 
@@ -50,26 +53,21 @@ class CsvOptions:
     time_format: str | None = None
 
     def check(self) -> None:
-        if self.start_row is not None and self.end_row is not None and self.end_row < self.start_row:
-            raise ValueError(f"csv_end_row ({self.end_row}) must be >= csv_start_row ({self.start_row})")
+        if None not in (self.start_row, self.end_row) and self.start_row > self.end_row:
+            raise ValueError(f"no rows from {self.start_row} to {self.end_row}: csv_end_row {ORDER}")
 
     def columns(self, header: list[str]) -> list[str]:
-        if self.txyz_idxs is None:
-            names = self.usecols.split(",")
-            if missing := [n for n in names if n not in header]:
-                raise ValueError(f"columns {missing} aren't among {header}")
-            return names
-        try:
-            at = [int(i) for i in self.txyz_idxs.split(",")]
-        except ValueError:
-            at = []
-        if len(at) != 4:
-            raise ValueError(f"csv_txyz_idxs must be 4 comma-separated integers, got: '{self.txyz_idxs}'")
-        if min(at) < 0:
-            raise ValueError(f"csv_txyz_idxs must be non-negative integers, got: '{self.txyz_idxs}'")
-        if max(at) >= len(header):
-            raise ValueError(f"Column index {max(at)} out of range. CSV has {len(header)} columns.")
-        return [header[i] for i in at]
+        if self.txyz_idxs is not None:
+            places = self.txyz_idxs.split(",")
+            if len(places) != 4 or not all(re.fullmatch(r"\s*[+-]?\d+\s*", x) for x in places):
+                raise ValueError(f"time, x, y and z are told by {FOUR}, not by {self.txyz_idxs!r}")
+            if beyond := [x for x in map(int, places) if not 0 <= x < len(header)]:
+                raise ValueError(f"no columns at {beyond}: the {len(header)} columns count from 0")
+            return [header[int(x)] for x in places]
+        names = self.usecols.split(",")
+        if missing := [n for n in names if n not in header]:
+            raise ValueError(f"columns {missing} aren't among {header}")
+        return names
 
 
 def _unpacked(content: bytes, suffix: str) -> bytes:
@@ -177,10 +175,16 @@ def read_infos(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_results(spark: SparkSession, folder: str, kind: str) -> DataFrame:
     """All result files of a kind under a folder, columns matched by name whatever their order."""
-    paths = sorted(r[0] for r in spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*-{kind}.csv.gz").load(folder).select("path").collect())
-    by_header: dict[tuple[str, ...], list[str]] = {}
-    for p in paths:
-        by_header.setdefault(tuple(spark.read.option("header", True).csv(p).columns), []).append(p)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*-{kind}.csv.gz").load(folder).select("path", "content")
+
+    def headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            first = [gzip.GzipFile(fileobj=io.BytesIO(c)).readline().decode("utf-8-sig").strip() for c in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(first, pa.string())], ["path", "header"])
+
+    by_header: dict[str, list[str]] = {}
+    for r in files.mapInArrow(headers, "path string, header string").sort("path").collect():  # names only
+        by_header.setdefault(r.header, []).append(r.path)
     out = None
     for files in by_header.values():
         df = spark.read.option("header", True).csv(files)
@@ -189,12 +193,17 @@ def read_results(spark: SparkSession, folder: str, kind: str) -> DataFrame:
 
 
 def find(spark: SparkSession, folder: str, extension: str) -> list[str]:
-    """Files under a folder with an extension in any case, packed or not, in order."""
+    """Files under a folder with an extension in any case, packed or not, in order. Their names come to the driver, nothing else."""
     ends = "|".join(s.replace(".", r"\.") for s in ("", ".gz", ".zip", ".bz2", ".xz"))
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")
     return sorted(r[0] for r in files.filter(F.lower("path").rlike(f"(?s){extension.lower().replace('.', chr(92) + '.')}({ends})$")).collect())
 
 
+def digests(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, md5) of every file under a folder."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", F.md5("content").alias("md5"))
+
+
 def load_checked(path: str, md5: str | None, loader):
     """loader(path) if the file has the digest that is asked for."""
     from strideway.functions.scalar import md5_of

@@ -3,7 +3,7 @@ import sys
 import pytest
 
 import __spark_entry__ as entry
-from strideway.plans.queries import QUERIES
+from strideway.plans.catalogue import QUERIES
 
 
 def test_names(spark):

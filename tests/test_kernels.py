@@ -70,20 +70,33 @@ def test_features():
     assert extract(np.zeros((200, 3)), RATE) == {} and extract(np.full((500, 3), np.nan), RATE) == {}
 
 
-@pytest.mark.parametrize(
-    ("flags", "share", "idle", "want"),
-    [
-        ("001111100", 0.8, 1, [(2, 5)]),
-        ("11110000", 0.8, 2, [(0, 4)]),
-        ("00000", 0.8, 3, []),
-        ("11111", 0.8, 3, [(0, 5)]),
-        ("01001100011100010110", 0.5, 3, [(1, 1), (4, 2), (9, 10)]),
-        ("01001100011100010110", 0.5, 2, [(1, 1), (4, 2), (9, 3), (15, 4)]),
-    ],
-)
-def test_bouts(flags, share, idle, want):
-    assert scan([float(c) for c in flags], share, idle) == want
-    assert scan([None if c == "0" else 1.0 for c in flags], share, idle) == want
+def slow_bouts(flags, share, idle):
+    """Tries every end of a bout from every start."""
+    out, at = [], 0
+    while at < len(flags):
+        if flags[at] != 1:
+            at += 1
+            continue
+        end = at
+        while end + 1 < len(flags):
+            since = end + 1 - max(i for i in range(at, end + 1) if flags[i] == 1)
+            ones = sum(1 for f in flags[at : end + 1] if f == 1)
+            if flags[end + 1] != 1 and (since > idle or ones / (end + 2 - at) < share):
+                break
+            end += 1
+        last = max(i for i in range(at, end + 1) if flags[i] == 1)
+        out.append((at, last - at + 1))
+        at = end + 2
+    return out
+
+
+@pytest.mark.parametrize(("share", "idle"), [(0.8, 1), (0.8, 2), (0.8, 3), (0.5, 3), (0.6, 0), (0.1, 5)])
+def test_bouts(share, idle):
+    rng = np.random.default_rng(11)
+    for n in (0, 1, 2, 7, 40):
+        for p in (0.2, 0.5, 0.8, 1.0):
+            flags = [float(x) if x or rng.random() < 0.5 else None for x in (rng.random(n) < p)]
+            assert scan(flags, share, idle) == slow_bouts(flags, share, idle)
 
 
 def test_decode_is_the_best_path():

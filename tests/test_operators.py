@@ -3,6 +3,7 @@
 import datetime as dt
 import gzip
 import lzma
+import shlex
 import zipfile
 
 import numpy as np
@@ -10,6 +11,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from strideway import cli
+from strideway.functions.scalar import md5_of
 from strideway.operators import clean, evaluation, grid, hmm, impute, prepare, steps
 from strideway.plans.model import ForestDetector, NetworkDetector, StepModel, ThresholdDetector
 from strideway.plans.report import tables
@@ -228,7 +231,11 @@ def test_collation_and_commands(spark, tmp_path):
     (tmp_path / "in" / "x.CWA.gz").write_bytes(b"x")
     found = readers.find(spark, str(tmp_path / "in"), "cwa")
     assert len(found) == 1
-    assert sinks.commands(["/in/g/s.cwa"], "/in/", "/out/", "-q") == ["strideway '/in/g/s.cwa' --outdir '/out/g/s' -q"]
+    # Commands are what the parser takes, whatever characters a path has.
+    for path, folder in (("/in/g/s.cwa", "/out/g/s"), ("/in/g.1/it's a.b.csv.gz", "/out/g.1/it's a.b")):
+        [line] = sinks.commands([path], "/in/", "/out/", "-q")
+        args = cli.parser().parse_args(shlex.split(line)[1:])
+        assert (args.what, args.paths, args.outdir, args.quiet) == ("process", [path], folder, True)
 
 
 def test_streams(spark, tmp_path):
@@ -246,12 +253,25 @@ def test_streams(spark, tmp_path):
 
 
 def test_command_line(spark, tmp_path):
-    from strideway import cli
-
-    recording(spark, "one").select("time", "x", "y", "z").toPandas().to_csv(tmp_path / "one.csv", index=False)
-    cli.process(spark, cli.parser().parse_args(["process", str(tmp_path / "one.csv"), "-o", str(tmp_path / "o"), "-q"]))
-    made = {p.name for p in (tmp_path / "o" / "one").iterdir()}
-    assert {"one-Info.json", "one-Daily.csv.gz", "one-MinutelyAdjusted.csv.gz", "one-Bouts.csv.gz", "one-Steps.csv.gz", "one-StepTimes.csv.gz"} <= made
+    rows = recording(spark, "one").select("time", "x", "y", "z").toPandas()
+    for name in ("one", "two"):
+        rows.to_csv(tmp_path / f"{name}.csv", index=False)
+    rows.assign(x=None, y=None, z=None).to_csv(tmp_path / "none.csv", index=False)
+    cli.process(spark, cli.parser().parse_args(["process", *(str(tmp_path / f"{n}.csv") for n in ("one", "none", "two")), "-o", str(tmp_path / "o"), "-q"]))
+    for name in ("one", "two"):
+        made = {p.name for p in (tmp_path / "o" / name).iterdir()}
+        assert {f"{name}-{x}" for x in ("Info.json", "Daily.csv.gz", "MinutelyAdjusted.csv.gz", "Bouts.csv.gz", "Steps.csv.gz", "StepTimes.csv.gz")} <= made
+    same = [gzip.open(tmp_path / "o" / n / f"{n}-Steps.csv.gz", "rt").read() for n in ("one", "two")]
+    assert same[0] == same[1] and len(same[0].splitlines()) > 10
+    assert [p.name for p in (tmp_path / "o" / "none").iterdir()] == ["none-Info.json"]
+
+
+def test_a_model_of_another_digest_is_refused(tmp_path):
+    StepModel(distance=0.3, prominence=0.25).save(str(tmp_path))
+    digest = md5_of(str(tmp_path / "model.json"))
+    assert StepModel.load(str(tmp_path), digest).distance == 0.3
+    with pytest.raises(ValueError):
+        StepModel.load(str(tmp_path), digest[::-1])
 
 
 def test_steps_without_short(spark):

@@ -2,8 +2,7 @@
 
 import pytest
 
-from strideway.plans.oracles import ORACLES
-from strideway.plans.queries import QUERIES
+from strideway.plans.catalogue import ORACLES, QUERIES
 from tests.oracle import differences
 
 #: Kernels that SQL can't tell; their tests are in test_kernels.py.
