@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideway.session import prepare
+from strideway.session import prepare, shared_top
 
 #: The characters that part words, as bytes: blank, tab, line feed, vertical tab, form feed, return.
 SPACE = b" \t\n\x0b\x0c\r"
@@ -27,17 +24,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    conf = spark.sparkContext.getConf()
-    found = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    sc = spark.sparkContext
-    if not getattr(sc, "_strideway_shared", None):
-        path = tempfile.mkdtemp(prefix="strideway-shared-")
-        atexit.register(shutil.rmtree, path, True)
-        sc._strideway_shared = f"file://{path}"
-    return sc._strideway_shared
+    """The folder that driver and executors share."""
+    return shared_top(spark)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
