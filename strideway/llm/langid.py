@@ -13,7 +13,7 @@ scores for each bucket, of fixed size.
 
 Cases: a null text or one without a letter is `und` with score 0 and rejected; with no labelled
 row at all every text is `und`, and one with a letter is accepted, as nothing speaks against it; rows are judged one by one, so repeated rows, repeated or null
-keys keep their own; an empty table gives none; other columns are ignored, whatever their names.
+keys keep their own; of labels with the same score the first by code point wins; an empty table gives none; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from strideway.llm.common import arrow_map, slices
 
 UNKNOWN = "und"
+#: Mean size of a text beyond which embeddings learn no faster.
+RATE_SIZE = 768
 BUCKET_BITS = 16
 LETTER = regex.compile(r"\p{L}")
 #: Blanks, digits and ASCII punctuation end a word.
@@ -94,47 +96,56 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(ids: list[np.ndarray], labels: list[str], *, dims: int = 16, epochs: int = 12, rate: float = 0.5, minibatch: int = 32, most_rejected: float = 0.001, seed: int = 7) -> Model:
-    """Train on rows of subword buckets. Deterministic for rows in a given order. threshold and familiar are what a share most_rejected of held-back rows is below; strange is half way from familiar to the share that chance gives."""
+def counted(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(buckets, how often each) of the subwords of each text."""
+    ids, n = subwords(texts)
+    return [np.unique(part, return_counts=True) for part in np.split(ids, np.cumsum(n)[:-1])]
+
+
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[str], *, dims: int = 16, epochs: int = 12, rate: float = 0.5, minibatch: int = 32, most_rejected: float = 0.001, seed: int = 7) -> Model:
+    """Train on rows of (buckets, counts). Deterministic for rows in a given order. threshold and familiar are what a share most_rejected of held-back rows is below; strange is half way from familiar to the share that chance gives."""
     names = sorted(set(labels))
     y = np.asarray([names.index(x) for x in labels], int)
+    share = [c / max(1, c.sum()) for _, c in rows]  # weights of a text's mean
+    sizes = np.asarray([max(1, c.sum()) for _, c in rows])
     rng = np.random.default_rng(seed)
-    order = rng.permutation(len(ids))
-    held = order[: len(order) // 10]
-    rows = order[len(order) // 10 :]
+    order = rng.permutation(len(rows))
+    held, left = order[: len(order) // 10], order[len(order) // 10 :]
     emb = rng.normal(0, 0.1, (1 << BUCKET_BITS, dims))
     w, bias = rng.normal(0, 0.1, (dims, len(names))), np.zeros(len(names))
     weight = len(y) / (len(names) * np.maximum(1, np.bincount(y, minlength=len(names))))
-    steps, step = max(1, epochs * -(-len(rows) // minibatch)), 0
+    steps, step = max(1, epochs * -(-len(left) // minibatch)), 0
+    slot = np.zeros(1 << BUCKET_BITS, np.int64)
     for _ in range(epochs):
-        rows = rng.permutation(rows)
-        for at in range(0, len(rows), minibatch):
-            pick = rows[at : at + minibatch]
-            sizes = np.asarray([max(1, len(ids[i])) for i in pick])
-            flat = np.concatenate([ids[i] for i in pick])
-            owner = np.repeat(np.arange(len(pick)), [len(ids[i]) for i in pick])
-            mean = np.zeros((len(pick), dims))
-            np.add.at(mean, owner, emb[flat])
-            mean /= sizes[:, None]
+        left = rng.permutation(left)
+        for at in range(0, len(left), minibatch):
+            pick = left[at : at + minibatch]
+            flat = np.concatenate([rows[i][0] for i in pick])
+            met = np.unique(flat)
+            slot[met] = np.arange(len(met))
+            part = np.zeros((len(pick), len(met)))
+            part[np.repeat(np.arange(len(pick)), [len(rows[i][0]) for i in pick]), slot[flat]] = np.concatenate([share[i] for i in pick])
+            mean = part @ emb[met]
             p = softmax(mean @ w + bias)
             p[np.arange(len(pick)), y[pick]] -= 1
             p *= weight[y[pick]][:, None] / len(pick)
             lr = rate * (1 - step / steps)
-            back = (p @ w.T) / sizes[:, None]
-            # Each subword's share of the gradient is small; embeddings get a rate in proportion to the mean size of a text.
+            back = p @ w.T
+            # Each subword's share of the gradient is small; embeddings get a rate in proportion to the mean size of a text, up to RATE_SIZE.
+            emb[met] -= lr * min(RATE_SIZE, sizes[pick].mean()) * (part.T @ back)
             w -= lr * mean.T @ p
             bias -= lr * p.sum(0)
-            np.add.at(emb, flat, -lr * sizes.mean() * back[owner])
             step += 1
     model = Model(names, emb @ w, bias, 1.0, 0.0)
     if len(held):
-        met = np.bincount(np.concatenate([np.unique(ids[i]) for i in rows]), minlength=1 << BUCKET_BITS)
-        model.seen = met > 0
-        model.familiar = float(np.quantile([model.seen[ids[i]].mean() if len(ids[i]) else 1.0 for i in held], most_rejected))
+        model.seen = np.zeros(1 << BUCKET_BITS, bool)
+        for i in left:
+            model.seen[rows[i][0]] = True
+        model.familiar = float(np.quantile([(model.seen[rows[i][0]] * share[i]).sum() if len(share[i]) else 1.0 for i in held], most_rejected))
         chance = model.seen.mean()
         model.strange = float(chance + max(0.0, model.familiar - chance) / 2)
     if len(held) and len(names) > 1:
-        z = np.stack([model.scores[ids[i]].mean(0) if len(ids[i]) else np.zeros(len(names)) for i in held]) + bias
+        z = np.stack([share[i] @ model.scores[rows[i][0]] if len(share[i]) else np.zeros(len(names)) for i in held]) + bias
         # Targets short of 1, as by Platt: rows that are all told apart have a best temperature above 0.
         aim = np.full((len(held), len(names)), 1 / (len(held) + 2) / (len(names) - 1))
         aim[np.arange(len(held)), y[held]] = 1 - 1 / (len(held) + 2)
@@ -149,8 +160,8 @@ def bucket_of(key: Column) -> Column:
     return F.crc32(key.cast("string"))
 
 
-def train(rows: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", per_label: int = 1200, per_text: int = 768, seed: int = 7, **kw) -> Model:
-    """Learn from rows with a label. At most per_label rows of each label on average are used, chosen by a hash of the key; of the whole text of each, per_text subwords drawn evenly. The driver gets no more than that."""
+def train(rows: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", per_label: int = 1200, seed: int = 7, **kw) -> Model:
+    """Learn from rows with a label: all words of at most per_label rows of each label on average, chosen by a hash of the key. The driver gets the buckets and counts of those rows, so its memory is bounded by per_label times the number of labels, which are languages."""
     rows = rows.filter(F.col(label).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"), F.col(label).cast("string").alias("label"))
     counts = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not counts:
@@ -161,21 +172,15 @@ def train(rows: DataFrame, key: str = "doc_id", text: str = "text", label: str =
     chosen = rows.filter(place < share[F.col("label")])
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zlib
-
         for b in slices(batches, "text", 1 << 20):
-            keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            ids, n = subwords(texts)
-            out = []
-            for k, t, part in zip(keys, texts, np.split(ids, np.cumsum(n)[:-1]), strict=True):
-                rng = np.random.default_rng(zlib.crc32(f"{k}|{len(t or '')}".encode()))
-                out.append(np.sort(rng.choice(part, per_text, replace=False) if len(part) > per_text else part).astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(out, pa.binary())], ["key", "label", "ids"])
-
-    got = sorted(((r.key or "", r.label, bytes(r.ids)) for r in arrow_map(chosen, draw, "key string, label string, ids binary").collect()))
+            got = counted(b.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array([x[i].astype("<u4").tobytes() for x in got], pa.binary()) for i in (0, 1))], ["key", "label", "ids", "counts"])
+
+    drawn = "key string, label string, ids binary, counts binary"
+    got = sorted((r.key or "", r.label, bytes(r.ids), bytes(r.counts)) for r in arrow_map(chosen, draw, drawn).collect())
     if not got:  # hashes of a few rows may all miss
-        got = sorted((r.key or "", r.label, bytes(r.ids)) for r in arrow_map(rows.limit(per_label), draw, "key string, label string, ids binary").collect())
-    return fit([np.frombuffer(x[2], "<u4") for x in got], [x[1] for x in got], seed=seed, **kw)
+        got = sorted((r.key or "", r.label, bytes(r.ids), bytes(r.counts)) for r in arrow_map(rows.limit(per_label), draw, drawn).collect())
+    return fit([(np.frombuffer(x[2], "<u4"), np.frombuffer(x[3], "<u4").astype(float)) for x in got], [x[1] for x in got], seed=seed, **kw)
 
 
 def judge(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:

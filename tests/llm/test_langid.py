@@ -1,5 +1,7 @@
 import zlib
 
+from pyspark.sql import functions as F
+
 from strideway.llm import langid
 from strideway.llm.queries import op3_language_id
 
@@ -71,3 +73,39 @@ def test_held_out_accuracy(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
     assert sum(r.lang_pred == truth[r.doc_id] for r in held) / len(held) > 0.97
     assert all(0 <= r.score <= 1 for r in got)
+
+
+def test_scores_against_a_plain_version(spark):
+    """Whole texts, learned from and judged: means over all subwords, however long a text is."""
+    import numpy as np
+
+    docs = spark.createDataFrame(rows() + [(500, "the long cat " * 4000, "en", "", "")], SCHEMA)
+    model = langid.train(docs)
+    for text in ("the dog", "die katze und der hund " * 3000, "Thing, 12 und"):
+        ids, n = langid.subwords([text])
+        z = np.zeros(len(model.labels)) + model.bias
+        for i in ids:
+            z = z + model.scores[i] / n[0]
+        z = z / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        names, score, _ = langid.judge(model, [text])
+        assert names == [model.labels[int(p.argmax())]] and abs(score[0] - p.max()) < 1e-9
+    some, weight = langid.counted(["the the the cat", None, ""])[0]
+    ids, _ = langid.subwords(["the the the cat"])
+    assert dict(zip(some.tolist(), weight.tolist())) == {i: ids.tolist().count(i) for i in set(ids.tolist())}
+
+
+def test_pipeline_rejects_planted_foreign_texts(spark, sf):
+    """Texts in letters that no label has go, the others stay."""
+    import random
+
+    import corpus_pipeline as cp
+
+    rnd = random.Random(4)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    planted = [(10**6 + i, " ".join("".join(rnd.choices(letters, k=rnd.randrange(2, 9))) for _ in range(60)), None, "planted", 0) for i in range(15) for letters in ["абвгдежзиклмнопрст", "αβγδεζηθικλμνξοπρ", "".join(map(chr, range(0x3041, 0x3090)))][i % 3 :][:1]]
+    both = docs.unionByName(spark.createDataFrame(planted, "doc_id long, text string, lang string, source string, n_chars long").select(*[F.col(c).cast(docs.schema[c].dataType) for c in docs.columns]))
+    kept = {r.doc_id for r in cp.language(spark, both, sf).select("doc_id").collect()}
+    assert not kept & {p[0] for p in planted}
+    some = {r.doc_id for r in docs.collect() if r.text and len(r.text) > 200 and langid.LETTER.search(r.text)}
+    assert len(kept & some) >= 0.98 * len(some)
