@@ -3,9 +3,9 @@
 Each task keeps a memtable of digests; a full one is flushed as a run sorted by digest, one entry
 for each digest with the best row so far and a count, so copies shrink before anything is dealt
 out. Runs go to buckets of digests; a bucket compacts them by merging, keeping for each digest the
-best row (most code points, then smallest identifier). Every run has a Bloom filter: a row whose
-digest no other entry can have is settled without its text being moved. Rows that hit are verified
-by their bytes: texts under one digest are grouped by their normalised bytes, so that a collision
+best row (most code points, then smallest identifier). The compacted runs' filters of digests that have
+more than one row are united and sent to all tasks: a row that passes none is settled without its text
+being moved. Rows that hit are verified by their bytes: texts under one digest are grouped by their normalised bytes, so that a collision
 of digests would make groups of its own.
 
 Texts are equal when identical after every blank, tab, line feed, vertical tab, form feed and
@@ -33,8 +33,8 @@ MEMTABLE = 50_000
 BUCKET = 200_000
 #: Runs of a level that are merged into one of the next.
 FANOUT = 4
-#: Bits of the filter of digests with more than one row; more of them only let more rows through to the comparison of bytes.
-FILTER_BITS = 1 << 22
+#: Bits for each digest of the filter of those with more than one row, and the most in all (32 MB): beyond, more rows only pass on to the comparison of bytes.
+BITS_EACH, MOST_BITS = 16, 1 << 28
 LAST = 2**63 - 1
 
 Entry = tuple[bytes, int, int, int]  # digest, minus code points, key, rows
@@ -150,24 +150,43 @@ def _entries(run: list[Entry]) -> pa.RecordBatch:
 ENTRIES = "digest binary, minus long, key long, n long"
 
 
+def _batched(run: list[Entry]):
+    for at in range(0, len(run), 20_000):
+        yield _entries(run[at : at + 20_000])
+
+
 def _flushed(batches):
-    """The sorted runs of one task, each level merged no further than its fanout asks."""
-    index = Index()
+    """Sorted runs of at most BUCKET rows of a task, each the merge of its memtables."""
+    index, held = Index(), 0
     for b in batches:
         for e in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
             index.add(*e)
-    run = index.compact()
-    for at in range(0, len(run), 20_000):
-        yield _entries(run[at : at + 20_000])
+            held += 1
+            if held == BUCKET:
+                yield from _batched(index.compact())
+                index, held = Index(), 0
+    yield from _batched(index.compact())
+
+
+def _compacted(batches):
+    """The runs of a bucket, which come merged by digest: one entry for each, whatever their number."""
+    last: Entry | None = None
+    for b in batches:
+        out = merge([([last] if last else []) + list(zip(*(b.column(i).to_pylist() for i in range(4)), strict=True))])
+        if out:
+            last = out.pop()
+        yield _entries(out)
+    if last:
+        yield _entries([last])
 
 
 def index_of(rows: DataFrame) -> DataFrame:
     """(digest, minus, key, n): the compacted index of rows (digest, minus, key)."""
     spark = rows.sparkSession
     runs = arrow_map(rows.select("digest", "minus", F.coalesce("key", F.lit(LAST)).alias("key"), F.lit(1).cast("long").alias("n")), _flushed, ENTRIES)
-    # A bucket's index is held by one task.
+    # A bucket's runs are merged by Spark's external sort, and its entries pass one by one.
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // BUCKET))
-    return arrow_map(runs.repartition(buckets, "digest"), _flushed, ENTRIES)
+    return arrow_map(runs.repartition(buckets, "digest").sortWithinPartitions("digest", "minus", "key"), _compacted, ENTRIES)
 
 
 def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -199,24 +218,25 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 def _verified(rows: DataFrame, hits: DataFrame) -> DataFrame:
     """(digest, sha256, best, n) of the groups of equal bytes among rows whose digest hits.
 
-    A filter of fixed size keeps most other texts from being dealt out; those it lets through make
+    A filter of bounded size keeps other texts from being dealt out; those it lets through make
     groups that no hit joins. Equal texts are first grouped where they are read."""
     spark = rows.sparkSession
+    bits = min(MOST_BITS, max(1 << 16, 1 << (BITS_EACH * hits.count() - 1).bit_length()))
 
     def fill(batches):
-        bloom = Bloom(0, FILTER_BITS)
+        bloom = Bloom(0, bits)
         for b in batches:
             if b.num_rows:
                 bloom.add(b.column(0).to_pylist())
         yield pa.RecordBatch.from_arrays([pa.array([bloom.bits.tobytes()], pa.binary())], ["bits"])
 
-    total = np.zeros(FILTER_BITS // 8, np.uint8)
+    total = np.zeros(bits // 8, np.uint8)
     for r in arrow_map(hits.select("digest").coalesce(8), fill, "bits binary").toLocalIterator():
         total |= np.frombuffer(r.bits, np.uint8)
-    sent = spark.sparkContext.broadcast(total)  # FILTER_BITS / 8 bytes
+    sent = spark.sparkContext.broadcast(total)  # MOST_BITS / 8 bytes at most
 
     def candidates(batches):
-        bloom = Bloom(0, FILTER_BITS)
+        bloom = Bloom(0, bits)
         bloom.bits = sent.value
         for b in slices(batches, "text", 4 << 20):
             raw = texts(b.column(1))

@@ -47,3 +47,23 @@ def test_index_levels_and_filters():
 def test_query_against_sql(spark):
     sf = "/root/testdata/sf0.01"
     same(op4_exact_dedup(spark, sf), ORACLES["op4_exact_dedup"], sf)
+
+
+def test_small_memtables_runs_and_buckets(spark, monkeypatch):
+    """Flushed runs and buckets of a few rows, and a filter that lets all through, give the same groups."""
+    docs = spark.createDataFrame([(d, t, "", "", "", "") for d, t in rows()], SCHEMA)
+    want = sorted((tuple(r) for r in lsm.exact_groups(docs).collect()), key=str)
+    monkeypatch.setattr(lsm, "BUCKET", 7)
+    monkeypatch.setattr(lsm, "MOST_BITS", 64)
+    assert sorted((tuple(r) for r in lsm.exact_groups(docs).collect()), key=str) == want
+
+
+def test_runs_hold_each_digest_once():
+    import pyarrow as pa
+
+    rnd = random.Random(3)
+    entries = [(bytes([rnd.randrange(5)]) * 16, -rnd.randrange(9), rnd.randrange(50), 1) for _ in range(200)]
+    best = {d: (*min(e[1:3] for e in entries if e[0] == d), sum(e[3] for e in entries if e[0] == d)) for d, *_ in entries}
+    batches = [lsm._entries(sorted(entries)[i : i + 30]) for i in range(0, 200, 30)]
+    got = [tuple(r.values()) for b in lsm._compacted(iter(batches)) for r in pa.Table.from_batches([b]).to_pylist()]
+    assert got == sorted((d, *v) for d, v in best.items())
