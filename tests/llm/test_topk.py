@@ -39,6 +39,11 @@ def test_ties_odd_vectors_and_blocks(spark):
     want = plain(rows, 5, 10)
     assert run(spark, rows, 5, 10) == want
     assert run(spark, rows, 5, 10, block=4) == want
+    assert run(spark, rows, 5, 10, group=7) == want
+    again = [*rows, (0, [0.5, 0.5, 0.5], "", "", 1), (0, [-0.5, 0.5, 0.5], "", "", 1), (1, [0.5, 0.5, 0.5], "", "", 1), rows[4], rows[4]]
+    df = spark.createDataFrame(again, SCHEMA)
+    got = sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 10 == 0, 5).collect())
+    assert set(got) == plain(again, 5, 10) and all(len([x for x in got if x[:2] == r[:2]]) == 1 for r in got)
 
 
 def test_large_components_and_few_rows(spark):
