@@ -4,8 +4,9 @@ Texts are sets of hashed runs of five words. Candidates share all of a band of f
 in one of 24 bands: a pair of similarity 0.8 shares none with a chance of 3 in a million, one of 0.9
 of 1 in 10^11. Candidates are linked by stars and put together; in such a group the similarity of
 texts is counted out on their sets, breadth first from each text to those not yet reached. So
-components are those of all verified pairs among candidates, and a large group of near copies,
-reached in a few steps, doesn't take the square of its size.
+components are those of all verified pairs among candidates, and near copies, reached in a few steps,
+don't take the square of their number. A group of more than TILE texts is cut into tiles; each pair of
+tiles is verified by a task of its own, and the stars found are put together again.
 
 Cases: words are parted and lower-cased as for SimHash; a text of fewer words is one shingle; texts
 without words are one group; a null key is never what stays unless there is no other; an empty table gives no rows;
@@ -26,6 +27,8 @@ from strideway.llm.common import arrow_map, materialise, slices, texts
 from strideway.llm.links import components
 
 WIDTH, LEAST = 5, 0.8
+#: Different texts of a tile, on average.
+TILE = 4096
 BANDS, BAND_ROWS = 24, 4
 ODD = np.random.default_rng(5).integers(0, 2**63, (2, BANDS * BAND_ROWS)).astype(np.uint64) | np.uint64(1)
 
@@ -116,7 +119,12 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         for b in slices(batches, "text", 4 << 20):
             yield pa.RecordBatch.from_arrays([pa.array([node_of(t) for t in texts(b.column(0))]), b.column(0)], ["at", "text"])
 
-    held = arrow_map(rows.select("text"), named, "at string, text string").join(members, "at")
+    # The groups of more than a tile, with their tiles; most have one, which meets itself.
+    large = materialise(members.groupBy("meets").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")).filter("tiles > 1"), "large-groups")
+    tiled = members.join(large, "meets", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("at"), F.col("tiles")).cast("int"))
+    pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda i: F.struct(F.least(i, "own").alias("p"), F.greatest(i, "own").alias("q")))).alias("pair")
+    placed = tiled.select("at", "meets", pairs).select("at", F.concat_ws("|", "meets", "pair.p", "pair.q").alias("meets"))
+    held = arrow_map(rows.select("text"), named, "at string, text string").join(placed, "at")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     dealt = held.select("meets", "at", "text").repartition(parts, "meets").sortWithinPartitions("meets", "at")
 
@@ -140,6 +148,8 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
             yield settle(names, sets)
 
     verified = materialise(arrow_map(dealt, verify, "at string, root string"), "verified-links")
+    if not large.isEmpty():
+        verified = components(verified.select(F.col("at").alias("u"), F.col("root").alias("v"))).select(F.col("u").alias("at"), F.col("v").alias("root"))
     return signed.join(verified, F.col("node") == F.col("at"), "left").select(F.col("key").alias(key), "node", F.coalesce("root", "node").alias("root"))
 
 

@@ -57,6 +57,11 @@ def test_chains_hubs_and_odd_texts(spark):
     assert jaccard.one_of_each(rows.limit(0)).count() == 0
 
 
+def test_large_groups_go_by_tiles(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "TILE", 5)
+    test_chains_hubs_and_odd_texts(spark)
+
+
 def test_bands_of_pairs_at_the_limit():
     rng = np.random.default_rng(2)
     miss = 0
