@@ -11,8 +11,8 @@ takes the whole shard as often as it fits (three times at most), then blocks fro
 Only quotients near the last one that gets a block are compared: what surely gets one is counted
 by rounding. So the work depends on the numbers of sources and shards, not on that of blocks.
 
-Cases: a null text has size 0; a source without words gets nothing; null keys are ordered as an
-empty text; repeated rows count each on its own; ties go to the earlier source or shard; an empty table
+Cases: a null text has size 0; a source without words gets nothing; null keys are ordered by
+their texts; repeated rows count each on its own; ties go to the earlier source or shard; an empty table
 gives none; other columns pass through unseen in mix() and are ignored by plan().
 """
 
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strideway.llm.common import WORD, materialise
+from strideway.llm.common import WORD, materialise, text_of
 
 REPEATS = 3
 SEED = 7
@@ -34,8 +34,9 @@ def size_of(text: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def order_of(key: str, seed: int) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
+def order_of(key: str, text: str, seed: int) -> Column:
+    """Where a document stands: by a digest of its key, of its text if it has none."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.concat(F.lit("n"), F.md5(text_of(text))))))
 
 
 def targets(sources: DataFrame) -> DataFrame:
@@ -102,11 +103,11 @@ def quotas(rows: DataFrame, n: int) -> DataFrame:
     return sharded.select("src", "cell", "shard", "source_size", "target").join(spread.select("src", "shard", "shard_size", "quota"), ["src", "shard"])
 
 
-def _take(rows: DataFrame, key: str, source: str, seed: int) -> DataFrame:
-    """rows, which have a size under P, with source_size, target and taken under P."""
+def _take(rows: DataFrame, key: str, source: str) -> DataFrame:
+    """rows, which have a size and a place in the order under P, with source_size, target and taken under P."""
     n = max(1, -(-rows.count() // SHARD_ROWS))
     rows = rows.withColumn(f"{P}source", F.col(source).cast("string")).withColumn(f"{P}src", F.coalesce(F.concat(F.lit("s"), f"{P}source"), F.lit("n")))
-    rows = rows.withColumn(f"{P}at", order_of(key, seed)).withColumn(f"{P}cell", F.conv(F.substring(f"{P}at", 1, 8), 16, 10).cast("long") % n)
+    rows = rows.withColumn(f"{P}cell", F.conv(F.substring(f"{P}at", 1, 8), 16, 10).cast("long") % n)
     found = materialise(quotas(rows, n), "quotas").select(F.col("src").alias(f"{P}q_src"), F.col("cell").alias(f"{P}q_cell"), *[F.col(c).alias(f"{P}{c}") for c in ("shard", "source_size", "target", "shard_size", "quota")])
     joined = rows.join(found, (F.col(f"{P}src") == F.col(f"{P}q_src")) & (F.col(f"{P}cell") == F.col(f"{P}q_cell")))
     # Rows without words get none wherever they stand: they keep to their cells, as no words bound their number in a shard.
@@ -120,14 +121,14 @@ def _take(rows: DataFrame, key: str, source: str, seed: int) -> DataFrame:
 
 def plan(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", seed: int = SEED) -> DataFrame:
     """(key, source, size, source_size, target, taken): the words that the mix takes of every document."""
-    sizes = materialise(docs.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source"), size_of(text).alias(f"{P}size")), "sizes")
-    out = _take(sizes, "key", "source", seed)
+    sizes = materialise(docs.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source"), size_of(text).alias(f"{P}size"), order_of(key, text, seed).alias(f"{P}at")), "sizes")
+    out = _take(sizes, "key", "source")
     return out.select(F.col("key").alias(key), F.col("source").alias(source), *[F.col(f"{P}{c}").alias(c) for c in ("size", "source_size", "target", "taken")])
 
 
 def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", seed: int = SEED) -> DataFrame:
     """The mixed rows with the columns of docs: each as often as the words taken of it come to, rounded to whole copies."""
-    taken = _take(docs.withColumn(f"{P}size", size_of(text)), key, source, seed)
+    taken = _take(docs.withColumns({f"{P}size": size_of(text), f"{P}at": order_of(key, text, seed)}), key, source)
     copies = F.floor(F.col(f"{P}taken") / F.nullif(F.col(f"{P}size"), F.lit(0)) + 0.5)
     # Rows of which nothing is taken go before copies are made.
     return taken.withColumn(f"{P}copies", copies.cast("int")).filter(f"{P}copies >= 1").withColumn(f"{P}copy", F.explode(F.expr(f"sequence(1, {P}copies)"))).select(*[F.col(f"`{c}`") for c in docs.columns])

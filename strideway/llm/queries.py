@@ -72,6 +72,15 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+#: Levels of paths that the SQL of op10 walks; a deeper path's last segments stay as they are.
+LEVELS = 8
+LEVEL = """), k{d} AS (SELECT host, node, parts[{d}] AS part, sum(n) AS n FROM t{p} WHERE len(parts) >= {d} GROUP BY ALL
+        ), v{d} AS (SELECT host, node FROM k{d} GROUP BY ALL HAVING count(*) > 8 AND sum(n) < 4 * count(*)
+        ), t{d} AS (
+            SELECT t{p}.* EXCLUDE (node), CASE WHEN len(parts) >= {d} THEN t{p}.node || '/' || CASE WHEN v{d}.host IS NULL THEN parts[{d}] ELSE '*' END ELSE t{p}.node END AS node
+            FROM t{p} LEFT JOIN v{d} ON t{p}.host = v{d}.host AND t{p}.node = v{d}.node
+        """
+
 QUERIES = {f.__name__: f for f in (op1_top_k, op2_substring_dedup, op3_language_id, op4_exact_dedup, op5_warc, op6_byte_bpe, op7_mixing, op8_simhash, op9_suffix_array, op10_url_filter)}
 
 ORACLES: dict[str, str] = {
@@ -116,12 +125,10 @@ ORACLES: dict[str, str] = {
     """,
     "op7_mixing": r"""
         WITH d AS (
-            SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5('7:' || coalesce(doc_id::VARCHAR, '')) AS ord FROM documents
+            SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5('7:' || coalesce(doc_id::VARCHAR, 'n' || md5(coalesce(text, '')))) AS ord FROM documents
         ), n AS (SELECT greatest(1, ceil(count(*) / 4000.0))::BIGINT AS n FROM d
-        ), e AS (SELECT d.*, ('0x' || substr(ord, 1, 8))::BIGINT % n.n AS shard FROM d, n
-        ), sh AS (SELECT source, shard, sum(size)::BIGINT AS shard_size FROM e GROUP BY ALL
         ), s0 AS (
-            SELECT source, sum(shard_size)::BIGINT AS source_size, row_number() OVER (ORDER BY source IS NULL, source COLLATE "C") AS rank FROM sh GROUP BY source
+            SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source IS NULL, source COLLATE "C") AS rank FROM d GROUP BY source
         ), s1 AS (SELECT *, (rank - 1) % 3 + 1 AS w, 3 * source_size AS cap, source_size * (6 // ((rank - 1) % 3 + 1)) AS fill FROM s0
         ), s2 AS (
             SELECT *, sum(source_size) OVER () AS all_words,
@@ -140,20 +147,27 @@ ORACLES: dict[str, str] = {
         ), q2 AS (SELECT rank, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, rank, k) AS place, blocks FROM q1
         ), q3 AS (SELECT rank, count(*) AS seats FROM q2 WHERE place <= blocks GROUP BY rank
         ), s8 AS (SELECT s7.*, coalesce(seats, 0) AS seats FROM s7 LEFT JOIN q3 USING (rank)
+        ), e AS (
+            SELECT d.*, s8.source_size, target, block, seats, ('0x' || substr(ord, 1, 8))::BIGINT % n.n % greatest(1, least(n.n, s8.source_size // (block * 32))) AS shard
+            FROM n, d JOIN s8 ON d.source IS NOT DISTINCT FROM s8.source
         ), h1 AS (
-            SELECT sh.source, shard, shard_size, source_size, target, block, seats FROM sh JOIN s8 ON sh.source IS NOT DISTINCT FROM s8.source
+            SELECT source, shard, sum(size)::BIGINT AS shard_size, source_size, target, block, seats FROM e GROUP BY ALL
         ), r1 AS (
             SELECT source, shard, seats, shard_size, unnest(range(0, (seats * shard_size / source_size)::BIGINT + 60)) AS k FROM h1 WHERE shard_size > 0
         ), r2 AS (
             SELECT source, shard, seats, row_number() OVER (PARTITION BY source ORDER BY shard_size::DOUBLE / (2 * k + 1) DESC, shard, k) AS place FROM r1
         ), r3 AS (SELECT source, shard, count(*) AS shard_seats FROM r2 WHERE place <= seats GROUP BY ALL
         ), h2 AS (
-            SELECT h1.*, least(coalesce(shard_seats, 0) * block, 3 * shard_size)::BIGINT AS quota
-            FROM h1 LEFT JOIN r3 ON h1.source IS NOT DISTINCT FROM r3.source AND h1.shard = r3.shard
+            SELECT h1.*, coalesce(shard_seats, 0) * block AS won FROM h1 LEFT JOIN r3 ON h1.source IS NOT DISTINCT FROM r3.source AND h1.shard = r3.shard
+        ), h3 AS (
+            SELECT *, greatest(0, 3 * shard_size - won) AS room, sum(greatest(0, won - 3 * shard_size)) OVER (PARTITION BY source) AS over_,
+                   coalesce(sum(greatest(0, 3 * shard_size - won)) OVER (PARTITION BY source ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gone
+            FROM h2
+        ), h4 AS (SELECT source, shard, shard_size, (least(won, 3 * shard_size) + least(room, greatest(0, over_ - gone)))::BIGINT AS quota FROM h3
         ), o AS (
-            SELECT e.*, h2.source_size, h2.target, h2.shard_size, h2.quota, coalesce(h2.quota // nullif(h2.shard_size, 0), 0) AS whole,
+            SELECT e.*, h2.shard_size, h2.quota, coalesce(h2.quota // nullif(h2.shard_size, 0), 0) AS whole,
                    coalesce(sum(size) OVER (PARTITION BY e.source, e.shard ORDER BY ord, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
-            FROM e JOIN h2 ON e.source IS NOT DISTINCT FROM h2.source AND e.shard = h2.shard
+            FROM e JOIN h4 h2 ON e.source IS NOT DISTINCT FROM h2.source AND e.shard = h2.shard
         )
         SELECT doc_id, source, size, source_size, target, (whole * size + least(size, greatest(0, quota - whole * shard_size - ahead)))::BIGINT AS taken FROM o
     """,
@@ -185,60 +199,24 @@ ORACLES: dict[str, str] = {
                    ('net/es/', 'block', 'net', '/es/'), ('net/fr/', 'block', 'net', '/fr/')
         ), w AS (
             SELECT p.*, (SELECT arg_max(rule, len(rule)) FROM rules WHERE (p.host = rhost OR ends_with(p.host, '.' || rhost)) AND starts_with(p.path, rpath)) AS rule FROM p
-        ), x AS (
-            SELECT w.*, given, list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: regexp_replace(s, '^([0-9]+(\.[A-Za-z0-9]+)?|[0-9A-Fa-f]{8,})$', '*')) AS all_parts
+        ), y AS (
+            SELECT w.*, given, list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: regexp_replace(s, '^([0-9]+(\.[A-Za-z0-9]+)?|[0-9A-Fa-f]{8,})$', '*')) AS parts
             FROM w LEFT JOIN rules USING (rule)
-        ), y AS (SELECT *, CASE WHEN len(all_parts) > 4 THEN list_concat(all_parts[1:4], ['**']) ELSE all_parts END AS parts FROM x
         ), t0 AS (
-            SELECT host, parts, count(*) AS n, count(*) FILTER (given = 'allow') AS allow, count(given) AS labelled, '' AS node, '' AS parent FROM y GROUP BY host, parts
-        LEVELS), leaves AS (SELECT host, parent, node, sum(allow)::DOUBLE AS a, sum(labelled)::DOUBLE AS m FROM t5 GROUP BY ALL
-        ), pools AS (SELECT *, (sum(a) OVER q + 2.0) / (sum(m) OVER q + 4.0) AS rate FROM leaves WINDOW q AS (PARTITION BY host, parent)
-        ), branched AS (
-            SELECT *, CASE WHEN m > 0 AND abs(a - m * rate) > 1.96::DOUBLE * sqrt(m * rate * (1 - rate)) THEN node ELSE '~' END AS branch FROM pools
-        ), s AS (
-            SELECT *, sum(a) OVER (PARTITION BY host, parent, branch) AS ba, sum(m) OVER (PARTITION BY host, parent, branch) AS bm,
-                   sum(a) OVER (PARTITION BY host) AS ha, sum(m) OVER (PARTITION BY host) AS hm
-            FROM branched
-        ), u AS (
-            SELECT host, parent, node, (ba + 4.0::DOUBLE * ((ha + 4.0::DOUBLE * 0.5::DOUBLE) / (hm + 4.0::DOUBLE))) / (bm + 4.0::DOUBLE) AS purity FROM s
-        ), z AS (SELECT t5.host, parts, node, purity FROM t5 JOIN u USING (host, parent, node)
+            SELECT host, parts, count(*) AS n, count(*) FILTER (given = 'allow') AS allow, count(given) AS labelled, '' AS node FROM y GROUP BY host, parts
+        LEVELS), leaves AS (SELECT host, node, sum(allow)::DOUBLE AS a, sum(labelled)::DOUBLE AS m FROM tLAST GROUP BY ALL
+        ), px AS (
+            SELECT host, node, a, m, d, array_to_string(string_split(node, '/')[1:d], '/') AS id, CASE WHEN d > 1 THEN array_to_string(string_split(node, '/')[1:d - 1], '/') END AS up
+            FROM (SELECT *, unnest(range(1, len(string_split(node, '/')) + 1)) AS d FROM leaves)
+        ), nd AS (SELECT host, id, max(up) AS up, sum(a) AS a, sum(m) AS m FROM px GROUP BY host, id
+        ), ra AS (SELECT c.host, c.id, c.a, c.m, (p.a + 2.0::DOUBLE) / (p.m + 4.0::DOUBLE) AS r FROM nd c JOIN nd p ON p.host = c.host AND p.id = c.up
+        ), ct AS (SELECT host, id FROM ra WHERE m > 0 AND abs(a - m * r) > 1.96::DOUBLE * sqrt(m * r * (1 - r))
+        ), tp AS (SELECT px.host, px.node, max_by(px.id, px.d) AS top FROM px JOIN ct USING (host, id) GROUP BY px.host, px.node
+        ), mg AS (SELECT l.*, coalesce(top, '') AS top FROM leaves l LEFT JOIN tp USING (host, node)
+        ), pu AS (SELECT host, top, (sum(a) + 2.0::DOUBLE) / (sum(m) + 4.0::DOUBLE) AS purity FROM mg GROUP BY host, top
+        ), z AS (SELECT t.host, t.parts, t.node, CASE WHEN m > 0 THEN purity ELSE 0.5 END AS purity FROM tLAST t JOIN mg USING (host, node) JOIN pu USING (host, top)
         )
         SELECT page_id, y.host, path, rule, coalesce(given, CASE WHEN purity < 0.5 THEN 'block' ELSE 'allow' END) AS verdict, node AS template
         FROM y JOIN z ON y.host = z.host AND y.parts = z.parts
-    """.replace("LEVELS", """), k1 AS (SELECT host, node, parts[1] AS part, sum(n) AS n FROM t0 WHERE len(parts) >= 1 GROUP BY ALL
-        ), v1 AS (SELECT host, node FROM k1 GROUP BY ALL HAVING count(*) > 8 AND sum(n) < 4 * count(*)
-        ), t1 AS (
-            SELECT t0.* EXCLUDE (node, parent),
-                   CASE WHEN len(parts) >= 1 THEN t0.node ELSE parent END AS parent,
-                   CASE WHEN len(parts) >= 1 THEN t0.node || '/' || CASE WHEN v1.host IS NULL THEN parts[1] ELSE '*' END ELSE t0.node END AS node
-            FROM t0 LEFT JOIN v1 ON t0.host = v1.host AND t0.node = v1.node
-        ), k2 AS (SELECT host, node, parts[2] AS part, sum(n) AS n FROM t1 WHERE len(parts) >= 2 GROUP BY ALL
-        ), v2 AS (SELECT host, node FROM k2 GROUP BY ALL HAVING count(*) > 8 AND sum(n) < 4 * count(*)
-        ), t2 AS (
-            SELECT t1.* EXCLUDE (node, parent),
-                   CASE WHEN len(parts) >= 2 THEN t1.node ELSE parent END AS parent,
-                   CASE WHEN len(parts) >= 2 THEN t1.node || '/' || CASE WHEN v2.host IS NULL THEN parts[2] ELSE '*' END ELSE t1.node END AS node
-            FROM t1 LEFT JOIN v2 ON t1.host = v2.host AND t1.node = v2.node
-        ), k3 AS (SELECT host, node, parts[3] AS part, sum(n) AS n FROM t2 WHERE len(parts) >= 3 GROUP BY ALL
-        ), v3 AS (SELECT host, node FROM k3 GROUP BY ALL HAVING count(*) > 8 AND sum(n) < 4 * count(*)
-        ), t3 AS (
-            SELECT t2.* EXCLUDE (node, parent),
-                   CASE WHEN len(parts) >= 3 THEN t2.node ELSE parent END AS parent,
-                   CASE WHEN len(parts) >= 3 THEN t2.node || '/' || CASE WHEN v3.host IS NULL THEN parts[3] ELSE '*' END ELSE t2.node END AS node
-            FROM t2 LEFT JOIN v3 ON t2.host = v3.host AND t2.node = v3.node
-        ), k4 AS (SELECT host, node, parts[4] AS part, sum(n) AS n FROM t3 WHERE len(parts) >= 4 GROUP BY ALL
-        ), v4 AS (SELECT host, node FROM k4 GROUP BY ALL HAVING count(*) > 8 AND sum(n) < 4 * count(*)
-        ), t4 AS (
-            SELECT t3.* EXCLUDE (node, parent),
-                   CASE WHEN len(parts) >= 4 THEN t3.node ELSE parent END AS parent,
-                   CASE WHEN len(parts) >= 4 THEN t3.node || '/' || CASE WHEN v4.host IS NULL THEN parts[4] ELSE '*' END ELSE t3.node END AS node
-            FROM t3 LEFT JOIN v4 ON t3.host = v4.host AND t3.node = v4.node
-        ), k5 AS (SELECT host, node, parts[5] AS part, sum(n) AS n FROM t4 WHERE len(parts) >= 5 GROUP BY ALL
-        ), v5 AS (SELECT host, node FROM k5 GROUP BY ALL HAVING count(*) > 8 AND sum(n) < 4 * count(*)
-        ), t5 AS (
-            SELECT t4.* EXCLUDE (node, parent),
-                   CASE WHEN len(parts) >= 5 THEN t4.node ELSE parent END AS parent,
-                   CASE WHEN len(parts) >= 5 THEN t4.node || '/' || CASE WHEN v5.host IS NULL THEN parts[5] ELSE '*' END ELSE t4.node END AS node
-            FROM t4 LEFT JOIN v5 ON t4.host = v5.host AND t4.node = v5.node
-        """),
+    """.replace("LEVELS", "".join(LEVEL.format(d=d, p=d - 1) for d in range(1, LEVELS + 1))).replace("tLAST", f"t{LEVELS}"),
 }

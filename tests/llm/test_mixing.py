@@ -80,3 +80,15 @@ def test_apportion_is_sainte_lague(spark):
 def test_query_against_sql(spark):
     for sf in ("/root/testdata/sf0.001", "/root/testdata/sf0.01"):
         same(op7_mixing(spark, sf), ORACLES["op7_mixing"], sf)
+
+
+def test_null_keys_stand_by_their_texts(spark):
+    docs = spark.createDataFrame([(None, "s", f"w{i} " * (i % 7 + 1)) for i in range(400)], "doc_id long, source string, text string")
+    places = docs.select(mixing.order_of("doc_id", "text", 7).alias("at"))
+    assert places.distinct().count() == docs.select("text").distinct().count() > 300
+    got = mixing.plan(docs).collect()
+    assert len(got) == 400 and abs(sum(r.taken for r in got) - got[0].target) <= 15  # a block is a hundredth of the target
+
+
+def test_larger_tables_against_sql(spark):
+    same(op7_mixing(spark, "/root/testdata/sf0.1"), ORACLES["op7_mixing"], "/root/testdata/sf0.1")

@@ -40,11 +40,36 @@ def test_wildcards_merging_and_purity(spark):
     got = judged(spark, urls, rules)
     assert got[0].template == "/bad/*" and got[40].template == "/good/*" and got[80].template == "/user/*"
     assert got[0].verdict == "block" and got[40].verdict == "allow"
-    assert got[len(urls) - 1].template == "/a/b/c/d/**"
+    assert got[len(urls) - 1].template == "/a/b/c/d/e/f"
     assert len({got[i].verdict for i in range(80, 100)}) == 1
     assert all(r.verdict == "allow" for r in judged(spark, urls, []).values())
 
 
+def test_deep_branches_are_told_apart(spark):
+    rules = [("block", "h.org/a/b/c/d/e/bad/"), ("allow", "h.org/a/b/c/d/e/good/")]
+    deep = [f"http://h.org/a/b/c/d/e/{k}/{w}{i}" for k in ("bad", "good") for i, w in enumerate(["x"] * 30)]
+    urls = deep + ["http://h.org/a/b/c/d/e/bad/", "http://h.org/a/b/c/d/e/good/y"] * 2 + ["http://h.org/" + "a/" * 2000] * 2 + ["http://h.org/a"] * 2
+    got = judged(spark, urls, rules)
+    assert got[0].template == "/a/b/c/d/e/bad/*" and got[30].template == "/a/b/c/d/e/good/*"
+    assert got[len(urls) - 3].template == "/a" * 2000 and got[len(urls) - 1].template == "/a"
+    assert [got[i].verdict for i in (0, 30)] == ["block", "allow"]
+
+
+def test_a_branch_without_labels_is_not_condemned(spark):
+    """One blocked section doesn't block its site; a wildcard that holds blocked pages does block the rest of it."""
+    rules = [("block", "a.net/es/"), *(("block", f"a.net/u/name{chr(97 + i)}") for i in range(12))]
+    urls = ["http://a.net/es/1"] * 40 + ["http://a.net/en/x", "http://a.net/"] + [f"http://a.net/u/name{chr(97 + i)}" for i in range(20)] + ["http://b.net/es/1"] * 2
+    got = judged(spark, urls, rules)
+    assert got[40].verdict == got[41].verdict == got[63].verdict == "allow"
+    assert got[42].template == "/u/*" and got[42].verdict == "block"
+    assert got[61].rule is None and got[61].verdict == "block"
+
+
+def test_one_host_has_templates_of_both_verdicts(spark):
+    rows = op10_url_filter(spark, "/root/testdata/sf0.1").groupBy("host").agg({"verdict": "collect_set"}).collect()
+    assert any(len(r[1]) == 2 for r in rows)
+
+
 def test_empty(spark):
     assert judged(spark, []) == {}
 
