@@ -33,6 +33,8 @@ UNKNOWN = "und"
 #: Mean size of a text beyond which embeddings learn no faster.
 RATE_SIZE = 768
 BUCKET_BITS = 16
+#: How buckets and counts of a text are sent.
+KINDS = ("<u2", "<u4")
 LETTER = regex.compile(r"\p{L}")
 #: Blanks, digits and ASCII punctuation end a word.
 BREAKS = bytes(32 if i < 128 and not chr(i).isalpha() else i for i in range(256))
@@ -106,8 +108,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[str], *, dims: i
     """Train on rows of (buckets, counts). Deterministic for rows in a given order. threshold and familiar are what a share most_rejected of held-back rows is below; strange is half way from familiar to the share that chance gives."""
     names = sorted(set(labels))
     y = np.asarray([names.index(x) for x in labels], int)
-    share = [c / max(1, c.sum()) for _, c in rows]  # weights of a text's mean
-    sizes = np.asarray([max(1, c.sum()) for _, c in rows])
+    sizes = np.asarray([max(1, c.sum(dtype=np.int64)) for _, c in rows])
+    share = [(c / n).astype(np.float32) for (_, c), n in zip(rows, sizes, strict=True)]  # weights of a text's mean
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(rows))
     held, left = order[: len(order) // 10], order[len(order) // 10 :]
@@ -174,13 +176,15 @@ def train(rows: DataFrame, key: str = "doc_id", text: str = "text", label: str =
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", 1 << 20):
             got = counted(b.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array([x[i].astype("<u4").tobytes() for x in got], pa.binary()) for i in (0, 1))], ["key", "label", "ids", "counts"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array([x[i].astype(kind).tobytes() for x in got], pa.binary()) for i, kind in enumerate(KINDS))], ["key", "label", "ids", "counts"])
 
     drawn = "key string, label string, ids binary, counts binary"
-    got = sorted((r.key or "", r.label, bytes(r.ids), bytes(r.counts)) for r in arrow_map(chosen, draw, drawn).collect())
+    got = arrow_map(chosen, draw, drawn).collect()
     if not got:  # hashes of a few rows may all miss
-        got = sorted((r.key or "", r.label, bytes(r.ids), bytes(r.counts)) for r in arrow_map(rows.limit(per_label), draw, drawn).collect())
-    return fit([(np.frombuffer(x[2], "<u4"), np.frombuffer(x[3], "<u4").astype(float)) for x in got], [x[1] for x in got], seed=seed, **kw)
+        got = arrow_map(rows.limit(per_label), draw, drawn).collect()
+    got.sort(key=lambda r: (r.key or "", r.label, r.ids, r.counts))
+    # Arrays are views of what came, which is all that the driver holds of the sample.
+    return fit([tuple(np.frombuffer(x, kind) for x, kind in zip((r.ids, r.counts), KINDS, strict=True)) for r in got], [r.label for r in got], seed=seed, **kw)
 
 
 def judge(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
