@@ -132,7 +132,7 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 def cross_predict(df: DataFrame, folds: DataFrame, group: str, fit) -> DataFrame:
     """Rows as models predict them that have not seen their group: fit(train) gives a function from rows to predicted rows. folds: (group, fold)."""
-    rows = df.join(F.broadcast(folds), group)
+    rows = df.join(folds, group)  # folds grow with the groups: whether they are sent is Spark's choice
     out = None
     for k in sorted(r.fold for r in folds.select("fold").distinct().collect()):  # a model for each fold
         part = fit(rows.filter(F.col("fold") != k))(rows.filter(F.col("fold") == k))

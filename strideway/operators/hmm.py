@@ -9,18 +9,40 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strideway.session import written
+
 TINY = 1e-16
+#: States of a chain, at most: tables of labels by labels are sent to every task.
+MOST_LABELS = 1_000
 
 
 def labels_of(df: DataFrame, label: str) -> list:
-    """The distinct labels in order; they are few."""
-    return sorted(r[0] for r in df.select(label).filter(F.col(label).isNotNull()).distinct().collect())
+    """The distinct labels in order; more than MOST_LABELS raise ValueError."""
+    found = [r[0] for r in df.select(label).filter(F.col(label).isNotNull()).distinct().limit(MOST_LABELS + 1).collect()]
+    if len(found) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels in {label}")
+    return sorted(found)
+
+
+def _followed(df: DataFrame, label: str, time: str, groups: list[str]) -> DataFrame:
+    """(from, to): each label and the one after it, null for a group's last.
+
+    Without groups all rows are one sequence: times are dealt out by range, and the last row of a range is followed by the first of the next range that has rows."""
+    if groups:
+        return df.select(F.col(label).alias("from"), F.lead(label).over(Window.partitionBy(*groups).orderBy(time)).alias("to"))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Written down, as a range's number must not change any more.
+    dealt = written(df.select(F.col(label).alias("from"), F.col(time).alias("_time")).repartitionByRange(n, "_time").withColumn("_range", F.spark_partition_id()), "ranges")
+    own = Window.partitionBy("_range").orderBy("_time")
+    placed = dealt.withColumn("to", F.lead("from").over(own)).withColumn("_last", F.lead(F.lit(True)).over(own).isNull()).withColumn("_first", F.lag(F.lit(True)).over(own).isNull())
+    edges = placed.filter("_first").select("_range", F.lead("from").over(Window.orderBy("_range")).alias("_next"))  # a row for each of n ranges
+    return placed.join(F.broadcast(edges), "_range").select("from", F.when(F.col("_last"), F.col("_next")).otherwise(F.col("to")).alias("to"))
 
 
 def transition(df: DataFrame, label: str, time: str, groups: list[str] = []) -> DataFrame:  # noqa: B006
-    """(from, to, p): how often a label follows another within a group, as a share of what follows; pairs of labels that don't occur have 0."""
-    after = F.lead(label).over(Window.partitionBy(*groups).orderBy(time))
-    pairs = df.select(F.col(label).alias("from"), after.alias("to")).filter("`to` IS NOT NULL").groupBy("from", "to").agg(F.count("*").alias("n"))
+    """(from, to, p): how often a label follows another within a group, as a share of what follows; pairs of labels that don't occur have 0. More than MOST_LABELS raise ValueError."""
+    labels_of(df, label)
+    pairs = _followed(df, label, time, groups).filter("`to` IS NOT NULL").groupBy("from", "to").agg(F.count("*").alias("n"))
     names = df.select(F.col(label).alias("from")).filter("`from` IS NOT NULL").distinct()
     sums = pairs.groupBy("from").agg(F.sum("n").alias("all"))
     # labels x labels: a handful
@@ -32,6 +54,7 @@ def emission(df: DataFrame, true: str, predicted: str | list[str]) -> DataFrame:
     """(label, predicted, p): how often each label is predicted where `true` is so; or (label, p0, p1 ...) for columns of probabilities."""
     if isinstance(predicted, list):
         return df.groupBy(F.col(true).alias("label")).agg(*[F.avg(p).alias(f"p{i}") for i, p in enumerate(predicted)])
+    labels_of(df, true)
     counts = df.groupBy(F.col(true).alias("label"), F.col(predicted).alias("predicted")).agg(F.count("*").alias("n"))
     sums = counts.groupBy("label").agg(F.sum("n").alias("all"))
     grid = sums.crossJoin(F.broadcast(sums.select(F.col("label").alias("predicted"))))

@@ -96,6 +96,13 @@ def test_trim_takes_whole_days_and_exact_ends(spark):
 def test_hmm_parameters(spark):
     y = spark.createDataFrame([(i, v) for i, v in enumerate([0, 0, 1, 1, 0, 0, 1])], "t int, y int")
     assert {(r["from"], r["to"]): r.p for r in hmm.transition(y, "y", "t").collect()} == {(0, 0): 0.5, (0, 1): 0.5, (1, 0): 0.5, (1, 1): 0.5}
+    long = [int(x) for x in np.random.default_rng(4).integers(0, 3, 500)]
+    long[100] = None
+    pairs = [(a, b) for a, b in zip(long, long[1:]) if b is not None and a is not None]
+    said = {(r["from"], r["to"]): r.p for r in hmm.transition(spark.createDataFrame(list(enumerate(long)), "t int, y int"), "y", "t").collect()}
+    assert said == {(a, b): pytest.approx(pairs.count((a, b)) / sum(x == a for x, _ in pairs)) for a in range(3) for b in range(3)}
+    with pytest.raises(ValueError):
+        hmm.transition(spark.range(hmm.MOST_LABELS + 1), "id", "id")
     p = spark.createDataFrame([(0, 0.9, 0.1), (0, 0.8, 0.2), (1, 0.1, 0.9), (1, 0.2, 0.8)], "y int, a double, b double")
     assert {r.label: (round(r.p0, 9), round(r.p1, 9)) for r in hmm.emission(p, "y", ["a", "b"]).collect()} == {0: (0.85, 0.15), 1: (0.15, 0.85)}
     q = spark.createDataFrame([(v,) for v in [0, 0, 0, 1, 1]], "y int")
