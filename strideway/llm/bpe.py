@@ -79,11 +79,11 @@ def codec(ranks_path: str, pattern: str) -> Codec:
     return Codec(ranks_path, pattern)
 
 
-def stitch(c: Codec, chunks: list[tuple[int, str, np.ndarray, list[bytes]]], text: str) -> bytes:
-    """Ids of a text. chunks: (start, chunk text, boundaries from the text's start, ids of each piece), by start."""
+def stitch(c: Codec, chunks: list[tuple[np.ndarray, bytes, np.ndarray]], text: str) -> bytes:
+    """Ids of a text. chunks, by start: (boundaries from the text's start, ids of all pieces, where in them each boundary lies)."""
     out: list[bytes] = []
     pos = 0
-    for k, (start, _, bounds, ids) in enumerate(chunks):
+    for k, (bounds, ids, at_byte) in enumerate(chunks):
         # Carry on one pre-token at a time until a boundary is also this chunk's; most often that is at once, as the one before has been cut where they agree.
         at = int(bounds.searchsorted(pos))
         while at == len(bounds) or bounds[at] != pos:
@@ -99,10 +99,10 @@ def stitch(c: Codec, chunks: list[tuple[int, str, np.ndarray, list[bytes]]], tex
             continue
         stop = len(bounds) - 1
         if k + 1 < len(chunks):
-            common = np.intersect1d(bounds[at:], chunks[k + 1][2], assume_unique=True)
+            common = np.intersect1d(bounds[at:], chunks[k + 1][0], assume_unique=True)
             if len(common):
                 stop = int(bounds.searchsorted(common[0]))
-        out.extend(ids[at:stop])
+        out.append(ids[at_byte[at] : at_byte[stop]])
         pos = int(bounds[stop])
     while pos < len(text):
         piece = c.split.match(text, pos)[0]
@@ -156,12 +156,11 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
     def join(part: pa.Table) -> pa.Table:
         c = codec(ranks_path, pattern)
         part = part.sort_by("start")
-        got = part.to_pylist()
-        chunks = []
-        for x in got:
-            ends = np.concatenate([[0], np.cumsum(np.frombuffer(x["counts"], "<i4"))])
-            chunks.append((x["start"], x["piece"], np.frombuffer(x["bounds"], "<i8"), [x["ids"][a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]))
-        whole_text = "".join(x[1][:chunk] if i + 1 < len(chunks) else x[1] for i, x in enumerate(chunks))
+        bounds, ids, counts = (part.column(n).to_pylist() for n in ("bounds", "ids", "counts"))
+        # A pre-token is known by its boundary alone: no object for each of them.
+        chunks = [(np.frombuffer(b, "<i8"), x, np.concatenate([[0], np.cumsum(np.frombuffer(n, "<i4"))])) for b, x, n in zip(bounds, ids, counts, strict=True)]
+        pieces = part.column("piece").to_pylist()
+        whole_text = "".join([*(p[:chunk] for p in pieces[:-1]), pieces[-1]])
         return pa.table({"key": part.column("key").slice(0, 1), "ids": pa.array([stitch(c, chunks, whole_text)], pa.binary())})
 
     short = arrow_map(rows.filter(~is_long), whole, f"key {kind}, ids binary")

@@ -37,6 +37,13 @@ def test_chunks_agree_with_the_library(spark, truth):
     assert run(spark, rows, chunk=64, overlap=16) == expected(truth, rows)
 
 
+def test_a_long_text_of_many_chunks(spark, truth):
+    rnd = random.Random(8)
+    text = "".join(rnd.choice(["some words ", "\n\n", "12345", " " * 700, "漢字", "x" * 900]) for _ in range(3000))
+    rows = [(1, text, "", ""), (2, "", "", "")]
+    assert run(spark, rows, chunk=4096, overlap=64) == expected(truth, rows)
+
+
 def test_empty(spark):
     assert run(spark, []) == []
 
