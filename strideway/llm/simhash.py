@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strideway.llm.common import arrow_map, materialise, slices, texts
+from strideway.llm.common import arrow_map, materialise, row_id, rows_of, slices, texts
 from strideway.llm.links import components, stars
 
 PARTS = 4
@@ -101,11 +101,11 @@ def near_links(fps: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
     for i in range(PARTS):
         at = F.pmod(F.floor(F.col("cell") / 17**i), F.lit(17)) + F.col(f"to.d{i}")
         visits = visits.filter((at >= 0) & (at <= 16))
-    homes = F.broadcast(sizes.select(F.col("cell").alias("home"), F.sequence(F.lit(0), F.col("chunks") - 1).alias("home_chunks")))
+    homes = F.broadcast(sizes.select(F.col("cell").alias("home"), F.col("chunks").alias("home_chunks")))
     visits = (
         visits.withColumn("home", F.col("cell") + F.col("to.by"))
         .join(homes, "home")
-        .select("home", F.explode("home_chunks").alias("home_chunk"), "cell", "chunk", "fps")
+        .select("home", F.explode(F.expr("sequence(0, home_chunks - 1)")).alias("home_chunk"), "cell", "chunk", "fps")
         .filter("home <> cell or home_chunk <= chunk")
         .withColumn("first", (F.col("home") != F.col("cell")) | (F.col("home_chunk") != F.col("chunk")))
     )
@@ -139,7 +139,8 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **kw) -> DataFrame:
-    """The rows of docs whose key is its group's smallest, as they are; rows without a key stay only where their group has none."""
-    groups = near_groups(docs, key, text, **kw)
-    kept = groups.filter(F.col(key).eqNullSafe(F.col("component"))).select(F.col(key).alias("_kept")).distinct()
-    return docs.join(kept, docs[key].eqNullSafe(kept["_kept"]), "left_semi")
+    """Of each group the row with the smallest key, as it is; one without a key only where the group has none.
+
+    Of rows that share that key, the one whose text has the smallest digest stays, and rows that share the text too stay all."""
+    groups = near_groups(docs.select(row_id(key, text).alias("id"), F.col(text).alias("text")), "id", "text", **kw)
+    return rows_of(docs, groups.filter("id = component").select("id").distinct(), key, text)

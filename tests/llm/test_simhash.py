@@ -4,7 +4,7 @@ import re
 import numpy as np
 import xxhash
 
-from strideway.llm import simhash
+from strideway.llm import jaccard, simhash
 from strideway.llm.links import components
 from strideway.llm.queries import op8_simhash
 
@@ -79,6 +79,25 @@ def test_components_of_a_path_and_a_hub(spark):
     assert got == {**{i: 0 for i in range(1, 61)}, **{1000 + i: 1000 for i in range(1, 50)}}
 
 
+def test_links_without_a_node(spark):
+    links = [(1, None), (None, None), (3, 2), (2, 3), (3, 2), (5, 5)]
+    assert [tuple(r) for r in components(spark.createDataFrame(links, "u long, v long")).collect()] == [(3, 2)]
+    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_null_keys_and_repeated_rows(spark):
+    docs = [(3, "a b c d"), (3, "a b c d"), (None, "a b c d"), (None, "alone in its own words here"), (9, "x y z")]
+    rows = spark.createDataFrame([(d, t, "", "", "", 1) for d, t in docs], SCHEMA)
+    got = sorted(((r.doc_id, r.component) for r in simhash.near_groups(rows).collect()), key=str)
+    assert got == sorted([(3, 3), (3, 3), (None, 3), (None, None), (9, 9)], key=str)
+    odd = [*docs, (20, "p q r s"), (21, "p q r s"), (21, "words of no other text at all")]
+    rows = spark.createDataFrame([(d, t, "", "", "", 1) for d, t in odd], SCHEMA)
+    for one_of_each in (simhash.one_of_each, jaccard.one_of_each):
+        got = one_of_each(rows)
+        assert got.columns == rows.columns
+        assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([odd[0], odd[1], odd[3], odd[4], odd[5], odd[7]], key=str)
+
+
 def test_fingerprint_of_many_shingles():
     t = " ".join(str(i % 977) for i in range(9000))
     assert simhash.fingerprint(t.encode()) == plain(t)
