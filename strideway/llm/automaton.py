@@ -159,7 +159,9 @@ def remove_repeated(docs: DataFrame, least: int = 20, key: str = "doc_id", text:
 
 
 def remove_known(docs: DataFrame, reference: DataFrame, least: int = 20, key: str = "doc_id", text: str = "text", most_words: int = MOST_WORDS) -> DataFrame:
-    """(doc, n_units, n_removed, n_spans, kept): documents without what matches `least` words or more of a reference, which may hold most_words words at most (else ValueError: use remove_repeated on the union)."""
+    """(doc, n_units, n_removed, n_spans, kept): documents without what matches `least` words or more of a reference, which may hold most_words words at most (else ValueError: use remove_repeated on the union).
+
+    Every row is judged alone, so repeated rows and keys each give a row; a null key stays null; an empty reference removes nothing, empty docs give no rows."""
     spark = docs.sparkSession
     size = reference.agg(F.sum(F.size(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+")))).first()[0] or 0
     if size > most_words:

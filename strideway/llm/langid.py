@@ -188,7 +188,7 @@ def train(rows: DataFrame, key: str = "doc_id", text: str = "text", label: str =
 
 
 def judge(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(label, calibrated probability, accepted) of each text."""
+    """(label, calibrated probability, accepted) of each text; of labels that tie, the first by code point."""
     known = np.asarray([t is not None and LETTER.search(t) is not None for t in texts], bool)
     if not model.labels:
         return [UNKNOWN] * len(texts), np.zeros(len(texts)), known

@@ -43,6 +43,7 @@ def _small(e: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """(u, v): every node with a link to a smaller node of its component, and the smallest of it. links: (u, v) of one orderable type, either way round.
+    A link with a null node, or from a node to itself, links nothing; repeated links count once; no links give no rows.
 
     Each round halves the stars' depth or better; edges never grow in number. Every round is
     written to the shared folder, so lineage stays short. A hub's edges are summed before they

@@ -53,6 +53,14 @@ def test_no_labels_and_empty(spark):
     assert langid.predict(docs.limit(0), model).count() == 0
 
 
+def test_ties_go_to_the_first_label():
+    import numpy as np
+
+    model = langid.Model(["b", "c"], np.zeros((1 << langid.BUCKET_BITS, 2)), np.zeros(2), 1.0, 0.0)
+    names, score, _ = langid.judge(model, ["word", "", None])
+    assert names == ["b", "und", "und"] and score.tolist() == [0.5, 0, 0]
+
+
 def test_subwords_stay_inside_their_text():
     import numpy as np
 

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -142,6 +143,9 @@ def test_known_reference(spark):
     assert got == {1: (80, b"before after"), 2: (0, b"r1 r2 r3"), 3: (0, b""), None: (30, b"end")}
     with pytest.raises(ValueError):
         automaton.remove_known(df, known, most_words=10)
+    assert automaton.remove_known(df.limit(0), known).count() == 0
+    twice = {(r.doc, r.n_removed): n for r, n in Counter(automaton.remove_known(df.unionByName(df), known.limit(0)).select("doc", "n_removed").collect()).items()}
+    assert twice == {(d, 0): 2 for d in (1, 2, 3, None)}
 
 
 def test_long_texts_come_in_parts(monkeypatch):
