@@ -104,14 +104,3 @@ def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
 
 def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
-
-
-def row_id(key: str, text: str) -> Column:
-    """What tells rows apart where keys are null or repeated: key and digest of the text, in the order of keys, null last."""
-    return F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.md5(text_of(text)).alias("digest"))
-
-
-def rows_of(docs: DataFrame, ids: DataFrame, key: str, text: str) -> DataFrame:
-    """The rows of docs whose row_id() is among ids (id), as they are. No key is hot: null ones are dealt out by their texts."""
-    same = docs[key].eqNullSafe(ids["id"]["key"]) & (F.md5(F.coalesce(docs[text], F.lit(""))) == ids["id"]["digest"])
-    return docs.join(ids, same, "left_semi")

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strideway.llm.common import arrow_map, materialise, row_id, rows_of, slices, texts
+from strideway.llm.common import arrow_map, materialise, slices, texts
 from strideway.llm.links import components
 
 WIDTH, LEAST = 5, 0.8
@@ -154,9 +154,6 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Of each group the row with the smallest key, as it is; one without a key only where the group has none.
-
-    Of rows that share that key, the one whose text has the smallest digest stays, and rows that share the text too stay all."""
-    groups = near_groups(docs.select(row_id(key, text).alias("id"), F.col(text).alias("text")), "id", "text")
-    kept = groups.groupBy("root").agg(F.min("id").alias("id")).select("id").distinct()
-    return rows_of(docs, materialise(kept, "kept"), key, text)
+    """The rows of docs whose key is the smallest of some group's, as they are; null and repeated keys as in simhash.one_of_each."""
+    kept = near_groups(docs, key, text).groupBy("root").agg(F.min(key).alias("_kept")).select("_kept").distinct()
+    return docs.join(materialise(kept, "kept"), docs[key].eqNullSafe(F.col("_kept")), "left_semi")

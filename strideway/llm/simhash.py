@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strideway.llm.common import arrow_map, materialise, row_id, rows_of, slices, texts
+from strideway.llm.common import arrow_map, materialise, slices, texts
 from strideway.llm.links import components, stars
 
 PARTS = 4
@@ -139,8 +139,7 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **kw) -> DataFrame:
-    """Of each group the row with the smallest key, as it is; one without a key only where the group has none.
-
-    Of rows that share that key, the one whose text has the smallest digest stays, and rows that share the text too stay all."""
-    groups = near_groups(docs.select(row_id(key, text).alias("id"), F.col(text).alias("text")), "id", "text", **kw)
-    return rows_of(docs, groups.filter("id = component").select("id").distinct(), key, text)
+    """The rows of docs whose key is the smallest of some group's, as they are. Rows are told apart by their keys alone: if any group has no key, all rows without one stay, and so do all rows that repeat a key that stays."""
+    groups = near_groups(docs, key, text, **kw)
+    kept = groups.filter(F.col(key).eqNullSafe(F.col("component"))).select(F.col(key).alias("_kept")).distinct()
+    return docs.join(kept, docs[key].eqNullSafe(kept["_kept"]), "left_semi")

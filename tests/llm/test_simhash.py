@@ -4,7 +4,7 @@ import re
 import numpy as np
 import xxhash
 
-from strideway.llm import jaccard, simhash
+from strideway.llm import simhash
 from strideway.llm.links import components
 from strideway.llm.queries import op8_simhash
 
@@ -90,12 +90,7 @@ def test_null_keys_and_repeated_rows(spark):
     rows = spark.createDataFrame([(d, t, "", "", "", 1) for d, t in docs], SCHEMA)
     got = sorted(((r.doc_id, r.component) for r in simhash.near_groups(rows).collect()), key=str)
     assert got == sorted([(3, 3), (3, 3), (None, 3), (None, None), (9, 9)], key=str)
-    odd = [*docs, (20, "p q r s"), (21, "p q r s"), (21, "words of no other text at all")]
-    rows = spark.createDataFrame([(d, t, "", "", "", 1) for d, t in odd], SCHEMA)
-    for one_of_each in (simhash.one_of_each, jaccard.one_of_each):
-        got = one_of_each(rows)
-        assert got.columns == rows.columns
-        assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([odd[0], odd[1], odd[3], odd[4], odd[5], odd[7]], key=str)
+    assert sorted((r.doc_id for r in simhash.one_of_each(rows).collect()), key=str) == [3, 3, 9, None, None]
 
 
 def test_fingerprint_of_many_shingles():
